@@ -7,13 +7,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontaminate, linededup, pii, sharding, simhash, template, topk
+from . import bpe, cotrain, ctw, decontaminate, linededup, pii, sharding, simhash, template, topk
 from .common import table
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 7 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return ctw.score(docs, "doc_id", "text", "held_out")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs, "doc_id", "text", tau=4, shingle=4)
@@ -98,7 +104,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op4_cotrain": op4_cotrain, "op5_template": op5_template}
+QUERIES = {"op1_ctw": op1_ctw, "op2_simhash": op2_simhash, "op3_sharding": op3_sharding, "op4_cotrain": op4_cotrain, "op5_template": op5_template}
 QUERIES |= {"op6_linededup": op6_linededup, "op7_bpe": op7_bpe, "op8_decontaminate": op8_decontaminate}
 QUERIES |= {"op9_topk": op9_topk, "op10_pii": op10_pii}
 SQL = {"op6_linededup": OP6_SQL, "op8_decontaminate": OP8_SQL}
