@@ -110,8 +110,14 @@ QUERIES |= {"op9_topk": op9_topk, "op10_pii": op10_pii}
 SQL = {"op6_linededup": OP6_SQL, "op8_decontaminate": OP8_SQL}
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, cut, words_of
+from .decontaminate import shingle_hashes
 
 BITS = 64
 #: Fingerprints under one key beyond which the key is dealt out in tiles.
@@ -173,47 +174,53 @@ def tile_links(values: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int
     return out
 
 
-def links(nodes: DataFrame, tau: int, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of fingerprints that give the same components as all pairs at most ``tau`` bits apart.
+def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of node ids whose fingerprints are at most ``tau`` bits apart and whose blocks at most ``reach``.
 
-    ``nodes`` has one row per distinct fingerprint in ``fp``. Keys of up to ``tile``
-    fingerprints are joined; larger ones are dealt out in tiles, each of which returns a
-    spanning forest of its links, so that no key meets in one task and no pair is lost.
+    ``nodes`` has ``id``, ``fp`` and a whole number ``block``. Keys of up to ``tile`` nodes are
+    joined and give every pair; larger ones are dealt out in tiles, each of which returns a
+    spanning forest of its links, so that no key meets in one task and the components are
+    those of all pairs.
     """
     n, sums = moments(nodes)
+    kind = nodes.schema["id"].dataType.simpleString()
     rows = []
-    fp = F.col("fp")
+    fp, key = F.col("fp"), ["part", "value", "block"]
     for k, (part, t) in enumerate(plan(n, sums, tau)):
         flips = [sum(1 << (BITS - 1 - b) for b in c) for d in range(t + 1) for c in combinations(part, d)]
         signed = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in flips])
-        rows.append(nodes.select("fp", F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
+        rows.append(nodes.select("id", "fp", "block", F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
     stacked = rows[0]
     for r in rows[1:]:
         stacked = stacked.union(r)
-    index = stacked.select("part", "value", F.col("fp").alias("b"))
-    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", F.col("fp").alias("a")).select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "a")
-    hot = cut(index.groupBy("part", "value").count().where(F.col("count") > tile).select("part", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
+    index = stacked.select(*key, F.col("fp").alias("f"), F.col("id").alias("b"))
+    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", "block", F.col("fp").alias("g"), F.col("id").alias("a"))
+    probe = probe.select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "block", "g", "a")
+    if reach:
+        probe = probe.withColumn("block", F.explode(F.array(*[F.col("block") + i for i in range(-reach, reach + 1)])))
+    hot = cut(index.groupBy(*key).count().where(F.col("count") > tile).select(*key, F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+    near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
     few = hot.limit(1).count() == 0
-    cold = index if few else index.join(hot, ["part", "value"], "left_anti")
-    found = probe.join(cold, (probe["part"] == cold["part"]) & (probe["value"] == cold["value"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    cold = index if few else index.join(hot, key, "left_anti")
+    same = (probe["part"] == cold["part"]) & (probe["value"] == cold["value"]) & (probe["block"] == cold["block"])
+    found = probe.join(cold, same & (F.col("a") < F.col("b")) & near).select("a", "b")
     if few:
         return found
     # a hot key: its index rows and the probes that reach it are one set; tile (i, j) compares part i with part j of it
-    members = index.select("part", "value", F.col("b").alias("fp")).union(probe.select("part", "value", F.col("a").alias("fp"))).join(hot, ["part", "value"])
-    members = members.distinct().withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    tiles = members.select("part", "value", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "part", "value", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    members = index.select(*key, F.col("f").alias("fp"), F.col("b").alias("id")).union(probe.select(*key, F.col("g").alias("fp"), F.col("a").alias("id"))).join(hot, key)
+    members = members.distinct().withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    tiles = members.select(*key, "fp", "id", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        *key, "fp", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         values, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
         left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
         a, b = tile_links(values, left, right, tau)
-        both = values.view(np.int64)
-        return pd.DataFrame({"a": both[a], "b": both[b]})
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return found.union(tiles.groupBy("part", "value", "i", "j").applyInPandas(run, "a long, b long"))
+    return found.union(tiles.groupBy(*key, "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -226,8 +233,36 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle
     """
     rows = cut(fingerprints(df, text, shingle, seed))
     nodes = cut(rows.groupBy("fp").agg(F.min(doc_id).alias("low")))
-    components = connected_components(links(nodes.select("fp"), tau))
+    components = connected_components(links(nodes.select("fp", F.col("fp").alias("id"), F.lit(0).alias("block")), tau))
     labelled = nodes.join(components, nodes["fp"] == components["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "low")
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     by_fp = labelled.join(lowest, "label").select("fp", "component_id")
     return rows.join(by_fp, "fp")
+
+
+def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int = 2, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_id, component_id): groups of texts whose ``shingle``-word shingles have a Jaccard similarity of ``percent`` % or more.
+
+    Candidates are texts whose fingerprints of ``coarse``-word shingles lie at most ``tau`` bits apart; short
+    shingles move fewer bits when a word changes, so that fingerprints find texts of that
+    similarity. As their shingle counts differ by a quarter at most, keys also hold the count's order of magnitude.
+    Every candidate is verified on the shingle sets. Equal texts are one node. ``component_id`` is the
+    smallest id of the group; texts without words are equal. A null id is no smallest id.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("text_id"), F.lit(0).alias("block"), F.col(text).alias("text")), "text", coarse))
+    slim = df.select(F.md5(body).alias("text_id"), F.size(F.split(F.trim(body), r"\s+")).alias("n"))
+    nodes = rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"))
+    sized = slim.groupBy("text_id").agg(F.first("n").alias("n")).select("text_id", F.floor(F.log(F.greatest(F.col("n") - (shingle - 1), F.lit(1))) / np.log(100 / percent)).cast("int").alias("block"))
+    nodes = cut(nodes.join(sized, "text_id"))
+    pairs = cut(links(nodes.select(F.col("text_id").alias("id"), "fp", "block"), tau, reach=1).distinct())
+    touched = pairs.select(F.col("a").alias("text_id")).union(pairs.select(F.col("b").alias("text_id"))).distinct()
+    whole = df.select(F.md5(body).alias("text_id"), body.alias("text")).join(touched, "text_id", "left_semi").dropDuplicates(["text_id"])
+    sets = cut(whole.select("text_id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
+    both = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("text_id").alias("b"), F.col("s").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
+    alike = common.where(F.col("c") * (100 + percent) >= F.col("t") * percent).select("a", "b")
+    components = connected_components(alike)
+    labelled = nodes.join(components, nodes["text_id"] == components["node"], "left").select("text_id", F.coalesce("label", "text_id").alias("label"), "low")
+    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    return rows.select("doc_id", "text_id").join(labelled.join(lowest, "label").select("text_id", "component_id"), "text_id")
