@@ -1,11 +1,602 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries over the driver tables, each with its DuckDB SQL where SQL can say it.
+
+The documents hold little filler, connectives, code or headings, so some queries add the
+same fixed text to every document in both engines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import ReduceConfig
+from ..functions import lexicon as lex
+from ..functions import patterns as pat
+from ..functions import scalars as fn
+from ..operators import kernel, lexbuild
+from ..sources import logs
+from ..streaming import rewrite
+from . import analytics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def text_of(value: str) -> str:
+    """An SQL string literal."""
+    return "'" + value.replace("'", "''") + "'"
+
+
+# ---- pieces of SQL -------------------------------------------------------------------------
+
+BREAK = "chr(10)"
+
+
+def sql_list(words) -> str:
+    return "(" + ", ".join(text_of(w) for w in dict.fromkeys(words)) + ")"
+
+
+def sql_fields(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '[{pat.WHITE_DUCK}]+'), lambda f: f <> '')"
+
+
+def sql_tokens(x: str) -> str:
+    cost = "CASE WHEN strlen(f) = length(f) THEN 1 + length(f) // 5 ELSE length(f) END"
+    return f"greatest(1, coalesce(list_sum(list_transform({sql_fields(x)}, lambda f: {cost})), 0))::BIGINT"
+
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{pat.WHITE_DUCK}]+|[{pat.WHITE_DUCK}]+$', '', 'g')"
+
+
+def sql_class(w: str) -> str:
+    endings = " OR ".join(f"ends_with({w}, {text_of(e)})" for e in lex.ADJECTIVE_ENDINGS)
+    return f"CASE WHEN {w} IN {sql_list(lex.CONJUNCTIONS)} THEN 'other' WHEN {w} IN {sql_list(lex.VERBS)} THEN 'verb' WHEN {w} IN {sql_list(lex.ADJECTIVES)} OR {endings} THEN 'adj' ELSE 'noun' END"
+
+
+def sql_words(source: str, key: str, text: str) -> str:
+    """(key, pos, w): normal terms of a text with their place."""
+    edges = text_of(lex.TERM_EDGES)
+    return f"""SELECT {key}, pos, replace(lower(trim(raw, {edges})), '''', '') AS w FROM (
+      SELECT {key}, unnest(t) AS raw, generate_subscripts(t, 1) AS pos
+      FROM (SELECT {key}, string_split_regex({text}, '[.!?\\n\\t ,;:]+') AS t FROM {source})) WHERE raw <> ''"""
+
+
+def sql_content(w: str, level: str) -> str:
+    stop = lex.STOP_WORDS + (lex.ULTRA_STOP_WORDS if level == "ultra" else [])
+    out = f"strlen({w}) >= 2 AND {w} NOT IN {sql_list(stop)} AND regexp_matches({w}, '[A-Za-z0-9]')"
+    if level == "lite":
+        return out
+    classes = "('noun', 'verb')" if level == "ultra" else "('noun', 'verb', 'adj')"
+    return f"{out} AND ({sql_class(w)}) IN {classes}"
+
+
+IRREGULAR = "irregular(form, base) AS (VALUES " + ", ".join(f"({text_of(a)}, {text_of(b)})" for a, b in lex.IRREGULAR.items()) + ")"
+
+
+def sql_terms(level: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """CTE bodies that end in terms_<level>(key, terms)."""
+    base = "coalesce(i.base, w)" if level == "ultra" else "w"
+    join = "LEFT JOIN irregular i ON w = i.form" if level == "ultra" else ""
+    return f"""words_{level} AS ({sql_words(source, key, text)}),
+    first_{level} AS (SELECT {key}, {base} AS w, min(pos) AS pos FROM words_{level} {join} WHERE {sql_content("w", level)} GROUP BY ALL),
+    terms_{level} AS (SELECT s.{key}, coalesce(string_agg(w, ' ' ORDER BY pos), '') AS terms FROM {source} s LEFT JOIN first_{level} f ON s.{key} = f.{key} GROUP BY s.{key})"""
+
+
+def sql_smaller(a: str, b: str) -> str:
+    return f"({sql_tokens(a)} < {sql_tokens(b)} OR ({sql_tokens(a)} = {sql_tokens(b)} AND strlen({a}) < strlen({b})))"
+
+
+def sql_pct(n: str, total: str) -> str:
+    return f"CASE WHEN {total} <= 0 THEN 0 ELSE ({n}) * 100 // ({total}) END::BIGINT"
+
+
+# ---- token cost and terms ------------------------------------------------------------------
+
+
+@query("token_cost", f"SELECT doc_id, {sql_tokens('text')} AS tokens FROM documents")
+def token_cost(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.estimate_tokens("text").alias("tokens"))
+
+
+@query("token_cost_by_lang", f"SELECT lang, count(*)::BIGINT AS docs, sum({sql_tokens('text')})::BIGINT AS tokens FROM documents GROUP BY lang")
+def token_cost_by_lang(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", fn.estimate_tokens("text").alias("tokens"))
+    return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "lang")
+
+
+def _terms(level: str):
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "documents").select("doc_id", fn.term_graph("text", level).alias("terms"))
+
+    QUERIES[f"term_graph_{level}"] = run
+    SQL[f"term_graph_{level}"] = f"WITH {IRREGULAR}, {sql_terms(level)} SELECT doc_id, terms FROM terms_{level}"
+
+
+for _level in fn.LEVELS:
+    _terms(_level)
+
+
+def _level_sql() -> str:
+    parts = []
+    for level in fn.LEVELS:
+        out = f"CASE WHEN terms <> '' AND {sql_smaller('terms', 'text')} THEN terms ELSE text END"
+        parts.append(f"SELECT lang, '{level}' AS level, {sql_tokens('text')} AS before, {sql_tokens(out)} AS after FROM documents JOIN terms_{level} USING (doc_id)")
+    return f"""WITH {IRREGULAR}, {", ".join(sql_terms(x) for x in fn.LEVELS)}, each AS ({" UNION ALL ".join(parts)})
+    SELECT lang, level, count(*)::BIGINT AS docs, sum(before)::BIGINT AS tokens_in, sum(after)::BIGINT AS tokens_out,
+      (sum(before) - sum(after))::BIGINT AS tokens_saved, {sql_pct("sum(before) - sum(after)", "sum(before)")} AS saved_pct
+    FROM each GROUP BY lang, level"""
+
+
+@query("level_savings_by_lang", _level_sql())
+def level_savings_by_lang(spark, sf_dir):
+    """What each level would save, by language: one scan, three candidates per text, one aggregation."""
+    docs = table(spark, sf_dir, "documents", "lang", "text")
+    cost = lambda level: F.struct(F.lit(level).alias("level"), fn.estimate_tokens(fn.guarded("text", fn.term_graph("text", level))).alias("after"))
+    each = docs.select("lang", fn.estimate_tokens("text").alias("before"), F.explode(F.array(*[cost(x) for x in fn.LEVELS])).alias("r")).select("lang", "before", "r.*")
+    return analytics.with_saved(each.groupBy("lang", "level").agg(*analytics.sums())).withColumnRenamed("n", "docs").orderBy(F.desc("tokens_saved"), "lang", "level")
+
+
+VOCAB = f"WITH words AS ({sql_words('documents', 'doc_id', 'text')}), vocab AS (SELECT DISTINCT w FROM words WHERE regexp_full_match(w, '[a-z]+'))"
+
+
+def vocabulary(spark, sf_dir) -> DataFrame:
+    """Distinct terms of Latin letters; distinct inside a document first, so that the shuffle is small."""
+    words = table(spark, sf_dir, "documents", "text").select(F.explode(F.array_distinct(fn.normal_terms("text"))).alias("w"))
+    return words.where(F.col("w").rlike("^[a-z]+$")).distinct()
+
+
+@query("classify_vocab", f"{VOCAB} SELECT {sql_class('w')} AS class, count(*)::BIGINT AS words FROM vocab GROUP BY 1")
+def classify_vocab(spark, sf_dir):
+    return vocabulary(spark, sf_dir).groupBy(fn.classify("w").alias("class")).agg(F.count("*").alias("words"))
+
+
+_NON_PLURAL = f"(w IN {sql_list(lex.NON_PLURAL)} OR " + " OR ".join(f"ends_with(w, '{e}')" for e in lex.NON_PLURAL_ENDINGS) + ")"
+
+
+def _stem(k: int) -> str:
+    root = f"w[:length(w) - {k}]"
+    return f"list_concat([{root} || 'e', {root}], CASE WHEN length({root}) >= 2 AND ({root})[-1] = ({root})[-2] THEN [w[:length(w) - {k + 1}]] ELSE [] END)"
+
+
+BASE_FORMS = f"""CASE WHEN ends_with(w, 'ing') AND length(w) > 4 THEN {_stem(3)} WHEN ends_with(w, 'ed') AND length(w) > 3 THEN {_stem(2)}
+  WHEN {_NON_PLURAL} THEN [] WHEN ends_with(w, 'ies') AND length(w) > 4 THEN [w[:length(w) - 3] || 'y', w[:length(w) - 1]]
+  WHEN ends_with(w, 'ss') THEN [] WHEN ends_with(w, 'es') AND length(w) > 3 THEN [w[:length(w) - 2], w[:length(w) - 1]]
+  WHEN ends_with(w, 's') AND length(w) > 3 THEN [w[:length(w) - 1]] ELSE [] END"""
+
+
+@query("base_forms_vocab", f"{VOCAB} SELECT w AS word, array_to_string({BASE_FORMS}, '|') AS forms, {_NON_PLURAL} AS non_plural FROM vocab")
+def base_forms_vocab(spark, sf_dir):
+    return vocabulary(spark, sf_dir).select(F.col("w").alias("word"), F.array_join(fn.base_forms("w"), "|").alias("forms"), fn.non_plural("w").alias("non_plural"))
+
+
+_FORMS = "forms(w) AS (VALUES " + ", ".join(f"({text_of(w)})" for w in lex.IRREGULAR) + ")"
+
+
+@query(
+    "lemma_collapse",
+    f"WITH {IRREGULAR}, {_FORMS}, words AS ({sql_words('documents', 'doc_id', 'text')}), vocab AS (SELECT w FROM words UNION SELECT w FROM forms) "
+    "SELECT count(*)::BIGINT AS words, count(DISTINCT coalesce(base, w))::BIGINT AS lemmas FROM vocab LEFT JOIN irregular ON w = form",
+)
+def lemma_collapse(spark, sf_dir):
+    words = table(spark, sf_dir, "documents", "text").select(F.explode(F.array_distinct(fn.normal_terms("text"))).alias("w"))
+    forms = spark.createDataFrame([(w,) for w in lex.IRREGULAR], "w string")
+    both = words.union(forms).distinct()
+    return both.select(fn.lemma("w").alias("lemma"), "w").agg(F.count("w").alias("words"), F.countDistinct("lemma").alias("lemmas"))
+
+
+@query(
+    "stopword_share",
+    f"WITH words AS ({sql_words('documents', 'doc_id', 'text')}) SELECT lang, count(w)::BIGINT AS terms, count(*) FILTER (w IN {sql_list(lex.STOP_WORDS)})::BIGINT AS stop_words FROM documents JOIN words USING (doc_id) GROUP BY lang",
+)
+def stopword_share(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "lang", "text")
+    terms = docs.select("lang", fn.let(fn.normal_terms("text"), lambda t: F.struct(F.size(t).alias("n"), F.size(F.filter(t, lambda w: w.isin(lex.STOP_WORDS))).alias("s"))).alias("c"))
+    return terms.where("c.n > 0").groupBy("lang").agg(F.sum("c.n").alias("terms"), F.sum("c.s").alias("stop_words"))
+
+
+@query("smaller_guard", f"WITH {IRREGULAR}, {sql_terms('full')} SELECT doc_id, {sql_smaller('terms', 'text')} AS is_smaller, {sql_tokens('terms')} AS tokens FROM documents JOIN terms_full USING (doc_id)")
+def smaller_guard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", fn.term_graph("text").alias("terms"))
+    return docs.select("doc_id", fn.smaller("terms", "text").alias("is_smaller"), fn.estimate_tokens("terms").alias("tokens"))
+
+
+# ---- prose, arrows, literals, lines -----------------------------------------------------------
+
+PROSE = "I will go now. Thank you, please  just use the tool , which really leads to a result in order to map to it.\n\n\n\nPerhaps it seems éa simple !"
+CODE = " See `pkg/x.go` and https://example.org/a?b=1 in MAX_SIZE or fs.read() call(it now) of v 1.2.3 at ~/src/main, ```\nx = 1\n``` end."
+
+
+def with_prose(column: str = "text") -> Column:
+    return F.concat(F.lit(PROSE + "\n"), F.col(column), F.lit(" " + PROSE))
+
+
+SQL_PROSE = f"({text_of(PROSE + chr(10))} || text || {text_of(' ' + PROSE)})"
+
+
+def sql_strip(x: str, *names: str) -> str:
+    for n in names:
+        x = f"regexp_replace({x}, '{pat.duck(getattr(pat, n))}', '', 'g')"
+    return x
+
+
+KINDS = ("LEADERS", "PLEASANTRIES", "HEDGES", "FILLERS", "ARTICLES")
+
+
+def _strip(name: str, *kinds: str):
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, "documents").select("doc_id", F.md5(fn.strip_words(with_prose(), *kinds)).alias("text_md5"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT doc_id, md5({sql_strip(SQL_PROSE, *kinds)}) AS text_md5 FROM documents"
+
+
+_strip("filler_removed", *KINDS[:4])
+_strip("articles_removed", "ARTICLES")
+
+
+def _compressed() -> str:
+    x = sql_strip(SQL_PROSE, *KINDS)
+    x = f"regexp_replace({x}, '{pat.MANY_SPACES}', ' ', 'g')"
+    x = f"regexp_replace({x}, '{pat.SPACE_BEFORE_MARK}', '\\1', 'g')"
+    return sql_trim(f"regexp_replace({x}, '{pat.MANY_BREAKS}', chr(10) || chr(10), 'g')")
+
+
+@query("compress_prose", f"SELECT doc_id, {_compressed()} AS text FROM documents")
+def compress_prose(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.compress_prose(with_prose()).alias("text"))
+
+
+_ARROWS = f"regexp_replace({SQL_PROSE}, '{pat.ARROW}', ' -> ', 'g')"
+
+
+@query("arrows_applied", f"SELECT doc_id, md5({_ARROWS}) AS text_md5, ((length({_ARROWS}) - length(replace({_ARROWS}, '->', ''))) // 2)::BIGINT AS arrows FROM documents")
+def arrows_applied(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", fn.apply_arrows(with_prose()).alias("t"))
+    arrows = ((F.length("t") - F.length(F.replace("t", F.lit("->"), F.lit("")))) / 2).cast("bigint")
+    return docs.select("doc_id", F.md5("t").alias("text_md5"), arrows.alias("arrows"))
+
+
+_DANGLING = "('-> -> ' || text || ' ->   -> ' || text || ' ->')"
+
+
+def _clean(x: str) -> str:
+    x = sql_trim(f"regexp_replace({x}, '{pat.ARROW_RUN}', '-> ', 'g')")
+    return sql_trim(f"regexp_replace({sql_trim(f'regexp_replace({x}, {text_of("^->")}, {text_of("")})')}, '->$', '')")
+
+
+@query("arrows_clean", f"SELECT conv_id, turn, {_clean(_DANGLING)} AS text FROM conversations")
+def arrows_clean(spark, sf_dir):
+    t = F.concat(F.lit("-> -> "), F.col("text"), F.lit(" ->   -> "), F.col("text"), F.lit(" ->"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", fn.cleanup_arrows(t).alias("text"))
+
+
+def _literals_sql() -> str:
+    ctes, work = [f"w0 AS (SELECT doc_id, text || {text_of(CODE)} AS t FROM documents)"], []
+    for i, p in enumerate(pat.PROTECTED.values()):
+        ctes.append(f"w{i + 1} AS (SELECT doc_id, regexp_replace(t, '{pat.duck(p)}', ' ', 'g') AS t FROM w{i})")
+        work.append(f"SELECT doc_id, {i} AS p, unnest(x) AS lit, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_extract_all(t, '{pat.duck(p)}') AS x FROM w{i})")
+    ctes.append(f"found AS ({' UNION ALL '.join(work)})")
+    ctes.append("firsts AS (SELECT doc_id, lit, min(p * 1000000 + k) AS o FROM found GROUP BY ALL)")
+    last = len(pat.PROTECTED)
+    return f"WITH {', '.join(ctes)} SELECT doc_id, string_agg(lit, '|' ORDER BY o) AS literals, count(*)::BIGINT AS n, any_value(md5(t)) AS stripped_md5 FROM firsts JOIN w{last} USING (doc_id) GROUP BY doc_id"
+
+
+@query("literals_extracted", _literals_sql())
+def literals_extracted(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", fn.protect_literals(F.concat("text", F.lit(CODE))).alias("p"))
+    return docs.select("doc_id", F.array_join("p.literals", "|").alias("literals"), F.size("p.literals").cast("bigint").alias("n"), F.md5("p.stripped").alias("stripped_md5"))
+
+
+MARKDOWN = "# Title\n## Part one `src/main.go` \nSee src/lib/a.py for more\n|---|---|\n##### deep\n#\nhttps://x.org/y only\n#### Last  \n*** --- ***\n"
+_LINES = f"SELECT conv_id, turn, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT conv_id, turn, string_split({text_of(MARKDOWN)} || text, chr(10)) AS l FROM conversations)"
+
+
+def lines(spark, sf_dir) -> DataFrame:
+    split = F.split(F.concat(F.lit(MARKDOWN), F.col("text")), "\n", -1)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(split).alias("pos", "line")).withColumn("pos", (F.col("pos") + 1).cast("bigint"))
+
+
+@query(
+    "noise_lines",
+    f"SELECT conv_id, turn, pos::BIGINT AS pos, (starts_with(line, '|---') OR starts_with(line, '| --') OR (strlen(line) > 3 AND length(regexp_replace(line, '[^A-Za-z0-9]', '', 'g')) < strlen(line) // 3)) AS noise FROM ({_LINES})",
+)
+def noise_lines(spark, sf_dir):
+    return lines(spark, sf_dir).select("conv_id", "turn", "pos", fn.is_noise("line").alias("noise"))
+
+
+_HASHES = f"length(regexp_extract({sql_trim('line')}, '^(#+)', 1))"
+_NAME = sql_trim(f"substr({sql_trim('line')}, {_HASHES} + 1)")
+
+
+@query("headings", f"SELECT conv_id, turn, pos::BIGINT AS pos, {_HASHES}::BIGINT AS level, {_NAME} AS name FROM ({_LINES}) WHERE {_HASHES} BETWEEN 1 AND 4 AND {_NAME} <> ''")
+def headings(spark, sf_dir):
+    found = lines(spark, sf_dir).select("conv_id", "turn", "pos", fn.heading("line").alias("h")).where("h is not null")
+    return found.select("conv_id", "turn", "pos", "h.level", "h.name")
+
+
+_CODE = "regexp_extract(line, '(?s)^[^`]*`([^`]+)`', 1)"
+_BARE = f"list_filter(list_transform({sql_fields('line')}, lambda f: trim(f, ',;:()[]{{}}')), lambda f: contains(f, '/') AND NOT contains(f, '://'))"
+
+
+@query("paths", f"SELECT conv_id, turn, pos::BIGINT AS pos, CASE WHEN contains({_CODE}, '/') OR contains({_CODE}, '.') THEN {_CODE} ELSE coalesce({_BARE}[1], '') END AS path FROM ({_LINES})")
+def paths(spark, sf_dir):
+    return lines(spark, sf_dir).select("conv_id", "turn", "pos", fn.path_in("line").alias("path"))
+
+
+_HAN = "regexp_replace({0}, '(\\p{{Han}})[\\t\\n\\f\\r ]+(\\p{{Han}})', '\\1\\2', 'g')"
+
+
+@query("han_join", f"SELECT doc_id, {_HAN.format(_HAN.format(text_of('修 碼 於 ') + ' || substr(text, 1, 40) || ' + text_of(' 要 後 x 交  訊 更')))} AS text FROM documents")
+def han_join(spark, sf_dir):
+    t = F.concat(F.lit("修 碼 於 "), F.substring("text", 1, 40), F.lit(" 要 後 x 交  訊 更"))
+    return table(spark, sf_dir, "documents").select("doc_id", fn.join_han(t).alias("text"))
+
+
+@query("preview", f"SELECT doc_id, CASE WHEN length(l) > 300 THEN l[:300] || '...' ELSE l END AS preview FROM (SELECT doc_id, array_to_string({sql_fields('text')}, ' ') AS l FROM documents)")
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.preview("text").alias("preview"))
+
+
+# ---- roles, sessions, gains -------------------------------------------------------------------
+
+
+@query("role_gate", "SELECT role, count(*)::BIGINT AS messages, role IN ('user', 'tool') AS open FROM conversations GROUP BY role")
+def role_gate(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("messages")).withColumn("open", fn.role_gate("role"))
+
+
+@query(
+    "chat_paths",
+    "SELECT page_id, (ends_with(p, '/chat/completions') OR ends_with(p, '/messages')) AS chat FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '/v1/chat/completions' WHEN 1 THEN '/v1/messages' ELSE '/v1/models' END AS p FROM pages)",
+)
+def chat_paths(spark, sf_dir):
+    tail = F.when(F.col("page_id") % 3 == 0, "/v1/chat/completions").when(F.col("page_id") % 3 == 1, "/v1/messages").otherwise("/v1/models")
+    return table(spark, sf_dir, "pages").select("page_id", fn.is_chat_path(F.concat("url", tail)).alias("chat"))
+
+
+def _discover_sql(gate: str) -> str:
+    out = f"CASE WHEN terms <> '' AND {sql_smaller('terms', 'text')} THEN terms ELSE text END"
+    return f"""WITH {IRREGULAR}, pieces AS (SELECT conv_id, turn, role, text, conv_id * 100000 + turn AS piece FROM conversations WHERE {gate} AND {sql_trim("text")} <> ''),
+    {sql_terms("full", "pieces", "piece")},
+    s AS (SELECT conv_id, sum({sql_tokens("text")}) AS b, sum({sql_tokens(out)}) AS a, count(*) AS m FROM pieces JOIN terms_full USING (piece) GROUP BY conv_id)
+    SELECT 'project' || (conv_id % 7) AS dir, count(*)::BIGINT AS sessions, sum(m)::BIGINT AS messages, sum(b)::BIGINT AS tokens_in, sum(a)::BIGINT AS tokens_out,
+      (sum(b) - sum(a))::BIGINT AS tokens_saved, {sql_pct("sum(b) - sum(a)", "sum(b)")} AS saved_pct FROM s GROUP BY 1"""
+
+
+def _discover(name: str, all_roles: bool):
+    def run(spark, sf_dir):
+        """Conversations as sessions of seven projects; the open roles are selected before any text is reduced."""
+        said = table(spark, sf_dir, "conversations").where(fn.role_gate("role", all_roles)).where(fn.trim("text") != "")
+        priced = said.select(
+            F.concat_ws("/", F.lit("logs"), F.concat(F.lit("project"), (F.col("conv_id") % 7).cast("string")), F.col("conv_id").cast("string")).alias("path"),
+            "role",
+            fn.estimate_tokens("text").alias("before"),
+            fn.estimate_tokens(fn.guarded("text", fn.term_graph("text"))).alias("after"),
+        )
+        return analytics.projects(analytics.sessions(priced, all_roles).withColumn("cwd", F.lit("")))
+
+    QUERIES[name] = run
+    SQL[name] = _discover_sql("true" if all_roles else "role IN ('user', 'tool')")
+
+
+_discover("discover_user_tool", False)
+_discover("discover_all", True)
+
+EVENTS = "SELECT event_id, epoch(ts)::BIGINT AS t, event_type AS cmd, (floor(abs(value) * 10) + 1)::BIGINT AS before, floor(abs(value) * 4)::BIGINT AS after, CASE WHEN user_id % 11 = 0 THEN '' ELSE '/home/u/p' || (user_id % 40) END AS dir FROM events WHERE value IS NOT NULL"
+
+
+def gain_events(spark, sf_dir) -> DataFrame:
+    """The events as a gain log: each a reduction from ``before`` to ``after`` in a folder."""
+    e = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value").where("value is not null")
+    folder = F.when(F.col("user_id") % 11 == 0, "").otherwise(F.concat(F.lit("/home/u/p"), (F.col("user_id") % 40).cast("string")))
+    before, after = (F.floor(F.abs("value") * 10) + 1).cast("bigint"), F.floor(F.abs("value") * 4).cast("bigint")
+    return e.select("event_id", F.unix_timestamp("ts").alias("t"), F.col("event_type").alias("cmd"), before.alias("before"), after.alias("after"), folder.alias("dir"))
+
+
+_SUMS = f"count(*)::BIGINT AS n, coalesce(sum(before), 0)::BIGINT AS tokens_in, coalesce(sum(after), 0)::BIGINT AS tokens_out, coalesce(sum(before - after), 0)::BIGINT AS tokens_saved, {sql_pct('sum(before - after)', 'sum(before)')} AS saved_pct"
+
+
+@query("gain_totals", f"SELECT {_SUMS} FROM ({EVENTS})")
+def gain_totals(spark, sf_dir):
+    return analytics.totals(gain_events(spark, sf_dir))
+
+
+@query("gain_by_folder", f"SELECT CASE WHEN dir = '' THEN '(unknown)' WHEN starts_with(dir, '/home/u') THEN '~' || substr(dir, 8) ELSE dir END AS dir, {_SUMS} FROM ({EVENTS}) GROUP BY 1")
+def gain_by_folder(spark, sf_dir):
+    return analytics.by_folder(gain_events(spark, sf_dir), "/home/u")
+
+
+@query("gain_history_top20", f"SELECT event_id, strftime(make_timestamp(t * 1000000), '%Y-%m-%d %H:%M') AS at, cmd, before, after, before - after AS saved, {sql_pct('before - after', 'before')}::VARCHAR || '%' AS pct FROM ({EVENTS}) ORDER BY event_id DESC LIMIT 20")
+def gain_history(spark, sf_dir):
+    last = analytics.history(gain_events(spark, sf_dir), ["event_id"])
+    at = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd HH:mm").alias("at")
+    return last.select("event_id", at, "cmd", "before", "after", (F.col("before") - F.col("after")).alias("saved"), fn.pct(F.col("before") - F.col("after"), "before").alias("pct"))
+
+
+def _human(n: str) -> str:
+    out = f"{n}::VARCHAR"
+    for unit, limit in (("k", 3), ("m", 6), ("b", 9), ("t", 12)):
+        out = f"CASE WHEN abs({n}) >= 1{'0' * limit} THEN regexp_replace(format('{{:.2f}}', {n} / 1e{limit}::DOUBLE), '\\.?0+$', '') || '{unit}' ELSE {out} END"
+    return out
+
+
+_SCALED = "(event_id * 7919 % 1000003) * CAST(power(10, event_id % 9) AS BIGINT) - 5000"
+
+
+@query("human_counts", f"SELECT event_id, {_human('n')} AS count FROM (SELECT event_id, {_SCALED} AS n FROM events)")
+def human_counts(spark, sf_dir):
+    n = (F.col("event_id") * 7919 % 1000003) * F.pow(F.lit(10), F.col("event_id") % 9).cast("bigint") - 5000
+    return table(spark, sf_dir, "events").select("event_id", fn.human_count(n).alias("count"))
+
+
+# ---- lexicon builders -------------------------------------------------------------------------
+
+DICTIONARY = [
+    "abdomen,n.,The belly or that part of the body,",
+    "belly,n.,The lower part,",
+    "demonstrate,v. t.,To show or prove a thing",
+    "show,v. i.,To let be seen",
+    "prove,v. t.,To try or test",
+    "Enormous,a.,Very big and great",
+    "big,a.,Of great size",
+    "great,a.,Large in size",
+    "quickly,adv.,In a fast and soon way",
+    "soon,adv.,In a short time",
+    "show,n.,A display",
+    "broken line without commas",
+    "residence,n.,A house or home,where one lives",
+    "house,n.,A building",
+    "home,n.,A house",
+    "through,prep.,From end to end",
+    "mysterious,xyz,unclassified",
+]
+OFFERS = [
+    ("abdomen", "n", "belly"), ("abdomen", "n", "tummy"), ("demonstrate", "v", "show"), ("demonstrate", "v", "prove"), ("residence", "n", "home"),
+    ("residence", "n", "house"), ("enormous", "a", "big"), ("enormous", "a", "vast"), ("quickly", "r", "fast"), ("house", "n", "home"),
+]
+ZIPFS = [
+    ("abdomen", 3.4, 2), ("belly", 4.1, 2), ("tummy", 3.5, 1), ("demonstrate", 4.0, 3), ("show", 5.9, 1), ("prove", 4.8, 2), ("residence", 4.2, 2),
+    ("home", 6.0, 1), ("house", 5.9, 2), ("enormous", 4.1, 2), ("big", 5.8, 1), ("vast", 2.5, 1), ("quickly", 5.0, 2), ("fast", 3.9, 1),
+]
+_DICT = "raw(line, value) AS (VALUES " + ", ".join(f"({i}, {text_of(r)})" for i, r in enumerate(DICTIONARY)) + ")"
+_PARTS = "parts AS (SELECT line, lower(trim(split_part(value, ',', 1))) AS word, trim(split_part(value, ',', 2)) AS tag, substr(value, length(split_part(value, ',', 1)) + length(split_part(value, ',', 2)) + 3) AS definition FROM raw WHERE length(value) - length(replace(value, ',', '')) >= 2)"
+_CLASS = "CASE WHEN starts_with(tag, 'v.') OR starts_with(tag, 'p. p.') OR starts_with(tag, 'imp.') OR starts_with(tag, 'p. pr.') THEN 'verb' WHEN tag IN ('a.', 'superl.') THEN 'adj' WHEN tag IN ('adv.', 'adv') THEN 'adv' WHEN tag IN ('prep.', 'conj.') THEN 'prep' WHEN tag = 'n.' OR starts_with(tag, 'n. pl') THEN 'noun' END"
+
+
+def dictionary(spark) -> DataFrame:
+    return logs.parse_dictionary(spark.createDataFrame(list(enumerate(DICTIONARY)), "line int, value string"))
+
+
+@query("dictionary_classes", f"WITH {_DICT}, {_PARTS} SELECT word, arg_min(class, line) AS class FROM (SELECT word, {_CLASS} AS class, line FROM parts) WHERE class IS NOT NULL AND word <> '' GROUP BY word")
+def dictionary_classes(spark, sf_dir):
+    return lexbuild.classes(dictionary(spark))
+
+
+@query(
+    "gloss_candidates",
+    f"""WITH {_DICT}, {_PARTS}, tagged AS (SELECT * FROM (SELECT word, CASE WHEN class IN ('adv', 'prep') THEN 'rest' ELSE class END AS class, lower(definition) AS definition, row_number() OVER (PARTITION BY word ORDER BY line) AS n
+      FROM (SELECT *, {_CLASS} AS class FROM parts) WHERE class IS NOT NULL AND regexp_full_match(word, '[a-z]+')) WHERE n = 1),
+    offers AS (SELECT word, class, {sql_tokens("word")} AS cost, unnest(list_distinct(regexp_extract_all(definition, '[a-z]+'))) AS gloss FROM tagged WHERE {sql_tokens("word")} >= 2),
+    ranked AS (SELECT o.word, gloss, row_number() OVER (PARTITION BY o.word ORDER BY {sql_tokens("gloss")}, length(gloss), gloss) AS r FROM offers o JOIN tagged t ON t.word = gloss AND t.class = o.class
+      WHERE length(gloss) >= 3 AND gloss <> o.word AND {sql_tokens("gloss")} < cost)
+    SELECT word, gloss FROM ranked WHERE r = 1""",
+)
+def gloss_candidates(spark, sf_dir):
+    return lexbuild.glosses(dictionary(spark))
+
+
+_OFFERS = "offers(word, pos, synonym) AS (VALUES " + ", ".join(str(o) for o in OFFERS) + ")"
+_PRICES = "prices(word, zipf, cost) AS (VALUES " + ", ".join(str(z) for z in ZIPFS) + ")"
+
+
+@query(
+    "synonym_candidates",
+    f"""WITH {_OFFERS}, {_PRICES}, fit AS (SELECT o.word, synonym, row_number() OVER (PARTITION BY o.word ORDER BY s.cost, -s.zipf, length(synonym), synonym) AS r
+      FROM offers o JOIN prices w ON o.word = w.word JOIN prices s ON o.synonym = s.word
+      WHERE synonym <> o.word AND w.zipf >= 1.5 AND w.cost >= 2 AND s.zipf >= 3.0 AND s.zipf >= w.zipf - 1.0 AND s.cost < w.cost)
+    SELECT word, synonym FROM fit WHERE r = 1""",
+)
+def synonym_candidates(spark, sf_dir):
+    offers = spark.createDataFrame(OFFERS, "word string, pos string, synonym string")
+    prices = spark.createDataFrame(ZIPFS, "word string, zipf double, cost int")
+    return lexbuild.synonyms(offers.select("word", "pos").distinct(), offers, prices)
+
+
+# ---- logs, the kernel, streams ----------------------------------------------------------------
+
+SESSIONS = [
+    ("/l/a/1", 0, '{"type":"mode","cwd":"/w/a"}'),
+    ("/l/a/1", 1, '{"type":"user","cwd":"/w/b","message":{"role":"user","content":"please use the tool"}}'),
+    ("/l/a/1", 2, '{"type":"assistant","message":{"role":"assistant","content":[{"type":"text","text":"done"},{"type":"tool_use","text":"x"}]}}'),
+    ("/l/a/1", 3, '{"type":"user","message":{"role":"user","content":[{"type":"tool_result","content":"file list"},{"type":"tool_result","content":[{"type":"text","text":"inner"},{"type":"image"}]}]}}'),
+    ("/l/b/2", 0, "not json"),
+    ("/l/b/2", 1, '{"type":"user","message":{"content":"no role"}}'),
+    ("/l/b/2", 2, '{"type":"user","message":{"role":"user","content":"   "}}'),
+]
+PIECES = [("/l/a/1", 1, "user", "please use the tool"), ("/l/a/1", 2, "assistant", "done"), ("/l/a/1", 3, "tool", "file list"), ("/l/a/1", 3, "tool", "inner"), ("/l/b/2", 1, "user", "no role")]
+
+
+@query("session_pieces", "SELECT * FROM (VALUES " + ", ".join(str(p) for p in PIECES) + ") AS p(path, line_no, role, text)")
+def session_pieces(spark, sf_dir):
+    return logs.session_pieces(spark.createDataFrame(SESSIONS, "path string, line_no int, line string")).select("path", "line_no", "role", "text")
+
+
+@query("session_dirs", "SELECT '/l/a/1' AS path, '/w/a' AS cwd")
+def session_dirs(spark, sf_dir):
+    return logs.session_dirs(spark.createDataFrame(SESSIONS, "path string, line_no int, line string"))
+
+
+GAINS = [
+    ("g", 0, '{"t":1,"cmd":"reduce","before":100,"after":40,"dir":"/a"}'),
+    ("g", 1, "not json at all"),
+    ("g", 2, "{}"),
+    ("g", 3, '{"t":2,"cmd":"proxy","before":200,"after":150,"dir":"/b"}'),
+    ("g", 4, '{"t":"x","cmd":"reduce","before":1,"after":1}'),
+    ("g", 5, '{"t":3,"cmd":"reduce","before":100,"after":60,"dir":"/a"}'),
+]
+
+
+@query("gain_log", "SELECT * FROM (VALUES (0, 1::BIGINT, 'reduce', 100::BIGINT, 40::BIGINT, '/a'), (2, 0, '', 0, 0, ''), (3, 2, 'proxy', 200, 150, '/b'), (5, 3, 'reduce', 100, 60, '/a')) AS g(line_no, t, cmd, before, after, dir)")
+def gain_log(spark, sf_dir):
+    return logs.gain_events(spark.createDataFrame(GAINS, "path string, line_no int, line string")).drop("path")
+
+
+def _fixpoint(level: str):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", kernel.reduced(F.concat("text", F.lit("\n" + PROSE + CODE)), ReduceConfig(level)).alias("r"))
+        return docs.select("doc_id", "r.text", "r.tokens_in", "r.tokens_out", "r.passes")
+
+    QUERIES[f"reduce_fixpoint_{level}"] = run
+
+
+for _level in ("lite", "full", "ultra", "wenyan"):
+    _fixpoint(_level)
+
+
+@query("shrink_prose")
+def shrink_prose(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" " + PROSE + CODE)).alias("text"))
+    return docs.select("doc_id", kernel.shrunk("text").alias("text"))
+
+
+@query("structure")
+def structure(spark, sf_dir):
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit(MARKDOWN), F.col("text")).alias("text"))
+    return said.select("conv_id", "turn", kernel.structured("text").alias("text"))
+
+
+@query("chat_requests")
+def chat_requests(spark, sf_dir):
+    """Conversations as request bodies, rewritten."""
+    said = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    body = F.to_json(F.struct(F.lit("any").alias("model"), messages.alias("messages")))
+    requests = said.select(F.concat(F.lit("/v1/messages/"), F.col("conv_id").cast("string")).alias("id"), F.lit("/v1/messages").alias("path"), body.alias("body"))
+    done = requests.withColumn("r", rewrite.rewritten("body", ReduceConfig("full")))
+    return done.select("id", "r.body", "r.before", "r.after")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
