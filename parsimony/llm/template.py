@@ -150,18 +150,22 @@ def templates(pages: DataFrame, page_id: str, html: str, support: float = SUPPOR
 def extract(html: str, skeleton: frozenset[int] = frozenset(), constant: frozenset[int] = frozenset()) -> str:
     """The main text of one page, given its host's template.
 
-    The skeleton parts the page into slots. Slots inside an article or main element are the
-    page's text; where the page has neither, all slots that no dropped element holds are, without
+    The skeleton parts the page into slots. Slots inside an article or main element of the skeleton are the
+    page's text, so that articles in lists of other pages' summaries are not; where the skeleton has no such element any in the page
+    counts, and where the page has neither, all slots that no dropped element holds are its text, without
     constant text. Elements that are or are named menus, headers, footers, sidebars, notices,
     adverts, forms or comments are left out wherever they stand. A page that breaks its
     host's template is read by the same rules without the template.
     """
     stream = placed(html)
-    has_main = any(kind == "open" and name in MAIN for kind, name, _, _ in stream)
+    mains = {token for kind, name, _, token in stream if kind == "open" and name in MAIN}
+    fixed = {token for token in mains if number(token) in skeleton}
+    mains = fixed or mains
+    has_main = bool(mains)
     blocks: list[str] = []
     words: list[str] = []
     main, skip, depth = 0, "", 0
-    depth_in = 0  # elements between the article and here
+    entered: list[bool] = []  # for each open article or main element, whether it is one of the page's own
 
     def flush() -> None:
         plain = " ".join(unescape("".join(words)).split())
@@ -170,7 +174,6 @@ def extract(html: str, skeleton: frozenset[int] = frozenset(), constant: frozens
         words.clear()
 
     for kind, name, value, token in stream:
-        fixed = bool(skeleton) and kind != "text" and number(token) in skeleton
         if skip:
             if kind == "open" and name == skip and name not in VOID:
                 depth += 1
@@ -193,8 +196,8 @@ def extract(html: str, skeleton: frozenset[int] = frozenset(), constant: frozens
         if name == "br":
             words.append(" ")
             continue
-        if name in BLOCKS or fixed:
-            flush()  # a slot or a block ends
+        if name in BLOCKS:
+            flush()
         if kind == "raw":
             continue
         if kind == "open" and name not in VOID:
@@ -205,8 +208,11 @@ def extract(html: str, skeleton: frozenset[int] = frozenset(), constant: frozens
                     continue  # nothing outside the article is read anyway
                 skip, depth = name, 1
                 continue
-        if name in MAIN:
-            main = max(0, main + (1 if kind == "open" else -1))
+        if name in MAIN and kind == "open":
+            entered.append(token in mains)
+            main += entered[-1]
+        elif name in MAIN and entered:
+            main -= entered.pop()
     flush()
     return "\n".join(blocks)
 
