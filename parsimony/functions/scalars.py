@@ -194,7 +194,7 @@ def join_han(text) -> Column:
 
 def role_gate(role, all_roles: bool = False) -> Column:
     """Whether messages of a role are reduced."""
-    return F.lit(True) if all_roles else F.coalesce(_col(role).isin("user", "tool"), F.lit(False))
+    return F.lit(True) if all_roles else _col(role).isNotNull() & _col(role).isin("user", "tool")
 
 
 def is_chat_path(path) -> Column:

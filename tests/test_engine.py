@@ -86,7 +86,7 @@ def test_sql_names(spark):
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = registry.QUERIES["discover_user_tool"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(role" in plan or "role IN (user,tool)" in plan
+    assert "In(role, [" in plan[plan.index("PushedFilters") :]
     plan = registry.QUERIES["token_cost_by_lang"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string,lang:string>" in plan or "ReadSchema: struct<lang:string,text:string>" in plan
     assert "Python" not in registry.QUERIES["level_savings_by_lang"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
