@@ -22,9 +22,11 @@ from pyspark.sql import types as T
 from .common import words_of
 
 #: Labelled and unlabelled documents that the fit uses at most. They bound the fit only; every document is scored.
-LABELLED, POOL = 8_000, 4_000
-#: Buckets of hashed words, rounds of co-training, and the calibrated confidence for a pseudo-label.
-BUCKETS, ROUNDS, SURE = 1 << 15, 3, 0.97
+LABELLED, POOL = 8_000, 2_000
+#: Buckets of hashed words and word beginnings, rounds of co-training, and the calibrated confidence for a pseudo-label.
+BUCKETS, ROUNDS, SURE = 1 << 20, 3, 0.97
+#: Sample documents that a feature must stand in to get a weight, and lengths of the word beginnings that are features.
+LEAST_DOCS, STEMS = 3, (4, 5)
 #: What a document needs to be kept, as a calibrated probability of being clean.
 KEEP = 0.5
 STYLE = 10
@@ -33,12 +35,15 @@ STRIP = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
 
 def text_features(text) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words of the whole text, and measures of its style."""
+    """Buckets of the distinct words of the whole text and of their beginnings, and measures of its style."""
     value = text or ""
     found = words_of(value)
     plain = {w.strip(STRIP) for w in set(found)}
     plain.discard(b"")
-    hashed = np.array(sorted({crc32(w) % BUCKETS for w in plain}), np.int32)
+    hashed = {crc32(w) % BUCKETS for w in plain}
+    for k in STEMS:
+        hashed.update([crc32(w, k) % BUCKETS for w in {w[:k] for w in plain if len(w) > k}])
+    hashed = np.array(sorted(hashed), np.int32)
     n, raw = max(len(found), 1), value.encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower = counts[65:91].sum(), counts[97:123].sum()
@@ -86,8 +91,10 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, we
     n = len(rows)
     if n == 0 or y.min() == y.max():
         return Logistic(np.zeros(width), np.zeros(dense.shape[1]), float(y[0] * 2 - 1 if n else 0) * 4)
-    sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), sizes)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+    used, flat, often = np.unique(flat, return_inverse=True, return_counts=True)
+    used, owner, flat = used[often >= LEAST_DOCS], owner[(often >= LEAST_DOCS)[flat]], flat[(often >= LEAST_DOCS)[flat]]
+    flat, whole, width = (np.cumsum(often >= LEAST_DOCS) - 1)[flat], width, len(used)
     w = np.ones(n) if weight is None else weight
     w = w * np.where(y > 0.5, 0.5 / max(w[y > 0.5].sum(), 1e-9), 0.5 / max(w[y <= 0.5].sum(), 1e-9))
     p = np.zeros(width + dense.shape[1] + 1)
@@ -99,7 +106,9 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, we
         g[:-1] += decay * p[:-1] * np.concatenate([np.ones(width), np.full(dense.shape[1], 0.1)])
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         p -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    return Logistic(p[:width], p[width:-1], float(p[-1]))
+    weights = np.zeros(whole, np.float32)
+    weights[used] = p[:width]
+    return Logistic(weights, p[width:-1], float(p[-1]))
 
 
 def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -217,12 +226,21 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, meta: list
     kind = docs.schema[doc_id].dataType.simpleString()
     got = rows.mapInArrow(run, f"id {kind}, words array<int>, style array<double>, meta array<int>, y int").limit(2 * (labelled + pool)).toArrow()
     order_of = np.argsort(np.array([str(x) for x in got["id"].to_pylist()]), kind="stable")
-    words = [np.array(x, np.int32) for x in got["words"].to_pylist()]
-    style, meta_rows, y = got["style"].to_pylist(), [np.array(x, np.int32) for x in got["meta"].to_pylist()], got["y"].to_pylist()
+    words, meta_rows, style = (_slices(got[c]) for c in ("words", "meta", "style"))
+    y = got["y"].to_pylist()
     all_rows = [(words[i], style[i], meta_rows[i], y[i]) for i in order_of]
     return co_train([r for r in all_rows if r[3] >= 0], [r[:3] for r in all_rows if r[3] < 0])
 
 
+def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as views of one array."""
+    out = []
+    for chunk in column.chunks:
+        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def score(docs: DataFrame, text: str, meta: list[str], model: Model, keep: float = KEEP) -> DataFrame:
     """``docs`` with p_text, p_meta, p_clean and keep (p_clean at least ``keep``): every document, its whole text.
 
