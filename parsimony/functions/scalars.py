@@ -42,12 +42,17 @@ def smaller(a, b) -> Column:
 
 def protect_literals(text) -> Column:
     """struct<stripped, literals>: code, links, paths and identifiers cut out, pattern by pattern, and each once."""
-    work, found = _col(text), []
+    out = F.struct(_col(text).alias("stripped"), F.array().cast("array<string>").alias("literals"))
     for p in pat.PROTECTED.values():
-        p = pat.jvm(p)
-        found.append(F.regexp_extract_all(work, F.lit(p), F.lit(0)))
-        work = F.regexp_replace(work, p, " ")
-    return F.struct(work.alias("stripped"), F.array_distinct(F.concat(*found)).alias("literals"))
+        out = let(out, _protecting(pat.jvm(p)))
+    return let(out, lambda s: F.struct(s["stripped"].alias("stripped"), F.array_distinct(s["literals"]).alias("literals")))
+
+
+def _protecting(p: str):
+    return lambda s: F.struct(
+        F.regexp_replace(s["stripped"], p, " ").alias("stripped"),
+        F.concat(s["literals"], F.regexp_extract_all(s["stripped"], F.lit(p), F.lit(0))).alias("literals"),
+    )
 
 
 def strip_words(text, *names: str) -> Column:
@@ -151,7 +156,12 @@ def is_content(word, level: str = "full") -> Column:
 
 def term_graph(text, level: str = "full") -> Column:
     """Content terms in order of first appearance, joined by spaces; the level "ultra" merges irregular forms."""
-    kept = F.filter(normal_terms(text), lambda w: (w == "->") | is_content(w, level))
+    return graph_of(normal_terms(text), level)
+
+
+def graph_of(terms: Column, level: str) -> Column:
+    """The same from normal terms."""
+    kept = F.filter(terms, lambda w: (w == "->") | is_content(w, level))
     if level == "ultra":
         kept = F.transform(kept, lemma)
     # an arrow is never a repetition: it carries its place while the others are made distinct
@@ -164,6 +174,21 @@ def guarded(text, candidate) -> Column:
     return let(F.struct(_col(text).alias("t"), _col(candidate).alias("c")), lambda s: F.when((s["c"] != "") & smaller(s["c"], s["t"]), s["c"]).otherwise(s["t"]))
 
 
+def level_costs(text) -> Column:
+    """array<struct<level, before, after>>: token cost of a text and of what each level would leave of it; terms are split once."""
+    cost = lambda g: F.struct(g.alias("g"), estimate_tokens(g).alias("c"), F.octet_length(g).alias("b"))
+
+    def at(level: str, s: Column) -> Column:
+        def after(x: Column) -> Column:
+            better = (x["g"] != "") & (F.struct(x["c"], x["b"]) < F.struct(s["c"], s["b"]))
+            return F.struct(F.lit(level).alias("level"), s["c"].alias("before"), F.when(better, x["c"]).otherwise(s["c"]).alias("after"))
+
+        return let(graph_of(s["n"], level), lambda g: let(cost(g), after))
+
+    whole = F.struct(normal_terms(text).alias("n"), estimate_tokens(text).alias("c"), F.octet_length(_col(text)).alias("b"))
+    return let(whole, lambda s: F.array(*[at(x, s) for x in LEVELS]))
+
+
 def heading(line) -> Column:
     """struct<level, name> of a heading of one to four hashes, else null."""
     x = trim(line)

@@ -36,7 +36,14 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if name == "documents" else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that lies in fewer splits than there are cores, dealt out to all cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def text_of(value: str) -> str:
@@ -148,9 +155,7 @@ def _level_sql() -> str:
 @query("level_savings_by_lang", _level_sql())
 def level_savings_by_lang(spark, sf_dir):
     """What each level would save, by language: one scan, three candidates per text, one aggregation."""
-    docs = table(spark, sf_dir, "documents", "lang", "text")
-    cost = lambda level: F.struct(F.lit(level).alias("level"), fn.estimate_tokens(fn.guarded("text", fn.term_graph("text", level))).alias("after"))
-    each = docs.select("lang", fn.estimate_tokens("text").alias("before"), F.explode(F.array(*[cost(x) for x in fn.LEVELS])).alias("r")).select("lang", "before", "r.*")
+    each = table(spark, sf_dir, "documents", "lang", "text").select("lang", F.explode(fn.level_costs("text")).alias("r")).select("lang", "r.*")
     return analytics.with_saved(each.groupBy("lang", "level").agg(*analytics.sums())).withColumnRenamed("n", "docs").orderBy(F.desc("tokens_saved"), "lang", "level")
 
 
