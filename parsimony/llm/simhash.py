@@ -184,8 +184,9 @@ def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataF
     """
     n, sums = moments(nodes)
     kind = nodes.schema["id"].dataType.simpleString()
+    # rows carry one hash of part, value and block, as they are many; what it confuses, the distance tells apart
     rows = []
-    fp, key = F.col("fp"), ["part", "value", "block"]
+    fp, near_blocks = F.col("fp"), F.array(*[F.col("block") + i for i in range(-reach, reach + 1)])
     for k, (part, t) in enumerate(plan(n, sums, tau)):
         flips = [sum(1 << (BITS - 1 - b) for b in c) for d in range(t + 1) for c in combinations(part, d)]
         signed = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in flips])
@@ -193,24 +194,21 @@ def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataF
     stacked = rows[0]
     for r in rows[1:]:
         stacked = stacked.union(r)
-    index = stacked.select(*key, F.col("fp").alias("f"), F.col("id").alias("b"))
-    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", "block", F.col("fp").alias("g"), F.col("id").alias("a"))
-    probe = probe.select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), "block", "g", "a")
-    if reach:
-        probe = probe.withColumn("block", F.explode(F.array(*[F.col("block") + i for i in range(-reach, reach + 1)])))
-    hot = cut(index.groupBy(*key).count().where(F.col("count") > tile).select(*key, F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
+    index = stacked.select(F.xxhash64("part", "value", "block").alias("key"), F.col("fp").alias("f"), F.col("id").alias("b"))
+    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", near_blocks.alias("blocks"), F.col("fp").alias("g"), F.col("id").alias("a"))
+    probe = probe.select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.explode("blocks").alias("block"), "g", "a").select(F.xxhash64("part", "value", "block").alias("key"), "g", "a")
+    hot = cut(index.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
     near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
     few = hot.limit(1).count() == 0
-    cold = index if few else index.join(hot, key, "left_anti")
-    same = (probe["part"] == cold["part"]) & (probe["value"] == cold["value"]) & (probe["block"] == cold["block"])
-    found = probe.join(cold, same & (F.col("a") < F.col("b")) & near).select("a", "b")
+    cold = index if few else index.join(hot, "key", "left_anti")
+    found = probe.join(cold, (probe["key"] == cold["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     if few:
         return found
     # a hot key: its index rows and the probes that reach it are one set; tile (i, j) compares part i with part j of it
-    members = index.select(*key, F.col("f").alias("fp"), F.col("b").alias("id")).union(probe.select(*key, F.col("g").alias("fp"), F.col("a").alias("id"))).join(hot, key)
+    members = index.select("key", F.col("f").alias("fp"), F.col("b").alias("id")).union(probe.select("key", F.col("g").alias("fp"), F.col("a").alias("id"))).join(hot, "key")
     members = members.distinct().withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = members.select(*key, "fp", "id", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        *key, "fp", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    tiles = members.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
+        "key", "fp", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +218,7 @@ def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataF
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return found.union(tiles.groupBy(*key, "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
+    return found.union(tiles.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -255,7 +253,12 @@ def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int
     nodes = rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"))
     sized = slim.groupBy("text_id").agg(F.first("n").alias("n")).select("text_id", F.floor(F.log(F.greatest(F.col("n") - (shingle - 1), F.lit(1))) / np.log(100 / percent)).cast("int").alias("block"))
     nodes = cut(nodes.join(sized, "text_id"))
-    pairs = cut(links(nodes.select(F.col("text_id").alias("id"), "fp", "block"), tau, reach=1).distinct())
+    # links run over 64-bit handles of the text ids, and their ends are the texts of the handles
+    handle = F.xxhash64("text_id")
+    found = links(nodes.select(handle.alias("id"), "fp", "block"), tau, reach=1).distinct()
+    names = nodes.select(handle.alias("h"), "text_id")
+    first = found.join(names.select(F.col("h").alias("a"), F.col("text_id").alias("x")), "a")
+    pairs = cut(first.join(names.select(F.col("h").alias("b"), F.col("text_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
     touched = pairs.select(F.col("a").alias("text_id")).union(pairs.select(F.col("b").alias("text_id"))).distinct()
     whole = df.select(F.md5(body).alias("text_id"), body.alias("text")).join(touched, "text_id", "left_semi").dropDuplicates(["text_id"])
     sets = cut(whole.select("text_id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
