@@ -174,6 +174,40 @@ def tile_links(values: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int
     return out
 
 
+def tile_copies(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
+    """Links that join all of a tile's texts whose sets have a Jaccard similarity of ``percent`` %: a forest of such pairs only.
+
+    Texts of one label are joined already.
+    """
+    names, label = np.unique(label, return_inverse=True)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(tokens, np.cumsum(sizes)[:-1])
+    there = np.concatenate([own[j] for j in right])
+    ends = np.concatenate(([0], np.cumsum(sizes[right])))
+    marked = np.zeros(tokens.max(initial=-1) + 1, bool)
+    out: tuple[list[int], list[int]] = ([], [])
+    for i in left.tolist():
+        if (label[right] == label[i]).all():
+            continue
+        marked[own[i]] = True
+        common = np.diff(np.concatenate(([0], np.cumsum(marked[there])))[ends])
+        marked[own[i]] = False
+        for j in right[common * (100 + percent) >= (sizes[i] + sizes[right]) * percent].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out[0].append(i)
+                out[1].append(j)
+    return out
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (``id``, ``s``) have a Jaccard similarity of ``percent`` % or more."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
+    return common.where(F.col("c") * (100 + percent) >= F.col("t") * percent).select("a", "b")
+
+
 def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataFrame:
     """Pairs (a, b) of node ids whose fingerprints are at most ``tau`` bits apart and whose blocks at most ``reach``.
 
@@ -182,43 +216,89 @@ def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataF
     spanning forest of its links, so that no key meets in one task and the components are
     those of all pairs.
     """
-    n, sums = moments(nodes)
+    index, probe = keyed(nodes, tau, reach)
     kind = nodes.schema["id"].dataType.simpleString()
+    near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
+    found, members = meet(index, probe, near, tile)
+    if members is None:
+        return found
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
+        a, b = tile_links(values, left, right, tau)
+        ids = pdf["id"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return found.union(tiled(members).groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
+
+
+def keyed(nodes: DataFrame, tau: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """(key, f, b) and (key, g, a): the rows by which nodes are found and those that look for them, and their ``label`` as m and l if there is one."""
+    n, sums = moments(nodes)
     # rows carry one hash of part, value and block, as they are many; what it confuses, the distance tells apart
     rows = []
+    label = ["label"] if "label" in nodes.columns else []
     fp, near_blocks = F.col("fp"), F.array(*[F.col("block") + i for i in range(-reach, reach + 1)])
     for k, (part, t) in enumerate(plan(n, sums, tau)):
         flips = [sum(1 << (BITS - 1 - b) for b in c) for d in range(t + 1) for c in combinations(part, d)]
         signed = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in flips])
-        rows.append(nodes.select("id", "fp", "block", F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
+        rows.append(nodes.select("id", *label, "fp", "block", F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
     stacked = rows[0]
     for r in rows[1:]:
         stacked = stacked.union(r)
-    index = stacked.select(F.xxhash64("part", "value", "block").alias("key"), F.col("fp").alias("f"), F.col("id").alias("b"))
-    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", near_blocks.alias("blocks"), F.col("fp").alias("g"), F.col("id").alias("a"))
-    probe = probe.select("part", F.col("value").bitwiseXOR(F.col("flip")).alias("value"), F.explode("blocks").alias("block"), "g", "a").select(F.xxhash64("part", "value", "block").alias("key"), "g", "a")
+    key = F.xxhash64("part", "value", "block").alias("key")
+    index = stacked.select(key, F.col("fp").alias("f"), F.col("id").alias("b"), *[F.col(c).alias("m") for c in label])
+    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", near_blocks.alias("blocks"), F.col("fp").alias("g"), F.col("id").alias("a"), *[F.col(c).alias("l") for c in label])
+    probe = probe.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).withColumn("block", F.explode("blocks"))
+    return index, probe.select(key, "g", "a", *["l" for _ in label])
+
+
+def meet(index: DataFrame, probe: DataFrame, near: Column, tile: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs (a, b) that keys of up to ``tile`` nodes give, and the members of the larger keys (key, fp, id, tiles), if there are any."""
     hot = cut(index.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
     few = hot.limit(1).count() == 0
     cold = index if few else index.join(hot, "key", "left_anti")
     found = probe.join(cold, (probe["key"] == cold["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
     if few:
-        return found
-    # a hot key: its index rows and the probes that reach it are one set; tile (i, j) compares part i with part j of it
-    members = index.select("key", F.col("f").alias("fp"), F.col("b").alias("id")).union(probe.select("key", F.col("g").alias("fp"), F.col("a").alias("id"))).join(hot, "key")
-    members = members.distinct().withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = members.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")).select(
-        "key", "fp", "id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
+        return found, None
+    # a hot key: its index rows and the probes that reach it are one set
+    label = ["label"] if "m" in index.columns else []
+    there = index.select("key", F.col("f").alias("fp"), F.col("b").alias("id"), *[F.col("m").alias(c) for c in label])
+    members = there.union(probe.select("key", F.col("g").alias("fp"), F.col("a").alias("id"), *[F.col("l").alias(c) for c in label])).join(hot, "key")
+    return found, members.distinct()
+
+
+def tiled(members: DataFrame) -> DataFrame:
+    """Members dealt out in tiles: tile (i, j) compares part i with part j of a key."""
+    members = members.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("tiles", "other")
+
+
+def copies(index: DataFrame, probe: DataFrame, near: Column, tile: int, sets_of, percent: int) -> DataFrame:
+    """Pairs (a, b) that are ``alike`` among those of different labels that meet under a key.
+
+    ``sets_of`` gives the sets of a frame of ids. A key of more than ``tile`` nodes is verified inside its
+    tiles: these return a forest of verified pairs, so that no pair is lost to a text that is like neither.
+    """
+    found, members = meet(index, probe, near & (F.col("l") != F.col("m")), tile)
+    found = cut(found.distinct())
+    out = alike(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("id"))), percent)
+    if members is None:
+        return out
+    mixed = members.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
+    members = cut(members.join(mixed, "key", "left_semi").drop("fp"))
+    tiles = tiled(members).join(sets_of(members.select("id")), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        own, sets = pdf["own"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["s"]]
         left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
-        a, b = tile_links(values, left, right, tau)
+        a, b = tile_copies(sets, pdf["label"].to_numpy(), left, right, percent) if len(left) and len(right) else ([], [])
         ids = pdf["id"].to_numpy()
         return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
-    return found.union(tiles.groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
+    return out.union(tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -238,7 +318,7 @@ def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle
     return rows.join(by_fp, "fp")
 
 
-def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int = 2, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int = 2, shingle: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
     """(doc_id, text_id, component_id): groups of texts whose ``shingle``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
     Candidates are texts whose fingerprints of ``coarse``-word shingles lie at most ``tau`` bits apart; short
@@ -253,19 +333,16 @@ def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int
     nodes = rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"))
     sized = slim.groupBy("text_id").agg(F.first("n").alias("n")).select("text_id", F.floor(F.log(F.greatest(F.col("n") - (shingle - 1), F.lit(1))) / np.log(100 / percent)).cast("int").alias("block"))
     nodes = cut(nodes.join(sized, "text_id"))
-    # links run over 64-bit handles of the text ids, and their ends are the texts of the handles
-    handle = F.xxhash64("text_id")
-    found = links(nodes.select(handle.alias("id"), "fp", "block"), tau, reach=1).distinct()
-    names = nodes.select(handle.alias("h"), "text_id")
-    first = found.join(names.select(F.col("h").alias("a"), F.col("text_id").alias("x")), "a")
-    pairs = cut(first.join(names.select(F.col("h").alias("b"), F.col("text_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    touched = pairs.select(F.col("a").alias("text_id")).union(pairs.select(F.col("b").alias("text_id"))).distinct()
-    whole = df.select(F.md5(body).alias("text_id"), body.alias("text")).join(touched, "text_id", "left_semi").dropDuplicates(["text_id"])
-    sets = cut(whole.select("text_id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
-    both = pairs.join(sets.select(F.col("text_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("text_id").alias("b"), F.col("s").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
-    alike = common.where(F.col("c") * (100 + percent) >= F.col("t") * percent).select("a", "b")
-    components = connected_components(alike)
-    labelled = nodes.join(components, nodes["text_id"] == components["node"], "left").select("text_id", F.coalesce("label", "text_id").alias("label"), "low")
+    # links run over 64-bit handles, which stand for the texts
+    nodes = nodes.withColumn("id", F.xxhash64("text_id"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        whole = df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")).join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
+        return cut(whole.select("id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
+
+    index, probe = keyed(nodes.select("id", F.col("id").alias("label"), "fp", "block"), tau, 1)
+    near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
+    components = connected_components(copies(index, probe, near, tile, sets_of, percent))
+    labelled = nodes.join(components, nodes["id"] == components["node"], "left").select("text_id", F.coalesce("label", "id").alias("label"), "low")
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
     return rows.select("doc_id", "text_id").join(labelled.join(lowest, "label").select("text_id", "component_id"), "text_id")

@@ -181,6 +181,43 @@ def test_near_copies(spark):
     assert simhash.near_copies(empty(spark), "doc_id", "text").count() == 0
 
 
+def shingle_set(text, n=5):
+    w = words(text)
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def jaccard_groups(texts, percent=80):
+    """Smallest position of each text's group, from plain Jaccard similarities of all pairs."""
+    sets = [shingle_set(t) for t in texts]
+    return naive_components(sets, lambda a, b: 100 * len(a & b) >= percent * len(a | b))
+
+
+@pytest.mark.parametrize("tile", [2, 10_000])
+def test_near_copies_between_unlike(spark, tile):
+    """Groups whose texts a third text with the same fingerprint, but other five-word shingles, lies between."""
+    rng, texts = random.Random(8), []
+    for _ in range(6):
+        a, b = [f"w{rng.randrange(10**6)}" for _ in range(2)]
+        base = [a, b] * 60
+        for k in range(6):
+            texts.append(" ".join([*base, *[f"x{k % 2}{i}" for i in range(4 + k)]]))
+    far = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
+    texts += far + [f"{t} y{i}" for i, t in enumerate(far)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text", tile=tile).collect()}
+    assert {i: got[i] for i in range(len(texts))} == jaccard_groups(texts)
+
+
+def test_tile_copies():
+    """A text within the fingerprint distance of all others and like none joins nothing; the others are joined."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 100)
+    sets = [rng.integers(0, 1 << 60, 100), *[np.concatenate((base[:95], rng.integers(0, 1 << 60, 5))) for _ in range(6)]]
+    every = np.arange(len(sets))
+    a, b = simhash.tile_copies(sets, every.copy(), every, every, 80)
+    assert len(a) == 5 and 0 not in a + b
+    assert simhash.tile_copies(sets, np.zeros(7, int), every, every, 80) == ([], [])
+
+
 def test_allot():
     assert simhash.allot([[0, 5, 9], [0, 1, 50], [0, 2, 3]], 1)[0] == min(a + b + c for i, a in enumerate([0, 5, 9]) for j, b in enumerate([0, 1, 50]) for k, c in enumerate([0, 2, 3]) if i + j + k - 3 == 1)
 
