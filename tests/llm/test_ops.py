@@ -218,6 +218,32 @@ def test_tile_copies():
     assert simhash.tile_copies(sets, np.zeros(7, int), every, every, 80) == ([], [])
 
 
+def edited(rng, text, kind, share):
+    """A copy with words appended, cut from the end or substituted."""
+    w = text.split()
+    k = round(len(w) * share)
+    if kind == "appended":
+        return " ".join([*w, *[f"a{rng.randrange(10**6)}" for _ in range(k)]])
+    if kind == "cut":
+        return " ".join(w[: len(w) - k])
+    for i in rng.sample(range(len(w)), max(1, k // 6)):
+        w[i] = f"s{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies_recall(spark):
+    """Every copy of a Jaccard similarity of 0.8 or more is found, with no filter of fingerprints in the brute force."""
+    rng, texts = random.Random(11), []
+    for k in range(45):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 400)))
+        texts += [base, edited(rng, base, ("appended", "cut", "substituted")[k % 3], rng.uniform(0.05, 0.24))]
+    far = [k for k in range(0, len(texts), 2) if (simhash.fingerprint_of(texts[k], 2) ^ simhash.fingerprint_of(texts[k + 1], 2)).bit_count() > 8]
+    want = jaccard_groups(texts)
+    assert any(want[k + 1] == k for k in far)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text").collect()}
+    assert {i: got[i] for i in range(len(texts))} == want
+
+
 def test_allot():
     assert simhash.allot([[0, 5, 9], [0, 1, 50], [0, 2, 3]], 1)[0] == min(a + b + c for i, a in enumerate([0, 5, 9]) for j, b in enumerate([0, 1, 50]) for k, c in enumerate([0, 2, 3]) if i + j + k - 3 == 1)
 
