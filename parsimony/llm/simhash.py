@@ -85,6 +85,11 @@ def sketched(df: DataFrame, shingle: int) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, size long, keys array<long>")
 
 
+def block_of(size: Column, percent: int) -> Column:
+    """The order of magnitude of a number of distinct shingles: sets of a Jaccard similarity of ``percent`` % are one apart at most."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / np.log(100 / percent)).cast("int")
+
+
 def fingerprints(df: DataFrame, text: str, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
     """``df`` without ``text`` and with the fingerprint as a signed 64-bit column; null texts count as empty."""
     keep = [f for f in df.schema.fields if f.name not in (text, name)]
@@ -357,24 +362,21 @@ def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int
     Candidates are texts whose fingerprints of ``coarse``-word shingles lie at most ``tau`` bits apart, and texts with a
     MinHash key in common, since added or missing passages move more bits than words that change.
     Each text is first compared with the smallest of each key; what is in one group by then is not compared again,
-    so that a large group takes no square of its size. As their shingle counts differ by a quarter at most, keys also hold the count's order of magnitude.
+    so that a large group takes no square of its size. As their numbers of distinct shingles differ by a quarter at most, keys of fingerprints also hold the count's order of magnitude.
     Every candidate is verified on the shingle sets. Equal texts are one node. ``component_id`` is the
     smallest id of the group; texts without words are equal. A null id is no smallest id.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("text_id"), F.lit(0).alias("block"), F.col(text).alias("text")), "text", coarse))
-    slim = df.select(F.md5(body).alias("text_id"), F.size(F.split(F.trim(body), r"\s+")).alias("n"))
+    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("text_id"), F.col(text).alias("text")), "text", coarse))
     nodes = rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"))
-    sized = slim.groupBy("text_id").agg(F.first("n").alias("n")).select("text_id", F.floor(F.log(F.greatest(F.col("n") - (shingle - 1), F.lit(1))) / np.log(100 / percent)).cast("int").alias("block"))
-    nodes = cut(nodes.join(sized, "text_id"))
     # links run over 64-bit handles, which stand for the texts
-    nodes = nodes.withColumn("id", F.xxhash64("text_id"))
+    sketch = cut(sketched(df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")), shingle).dropDuplicates(["id"]))
+    nodes = cut(nodes.withColumn("id", F.xxhash64("text_id")).join(sketch.select("id", block_of(F.col("size"), percent).alias("block")), "id"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         whole = df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")).join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
         return cut(whole.select("id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
 
-    sketch = cut(sketched(df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")), shingle).dropDuplicates(["id"]))
     keys = sketch.select("id", F.explode("keys").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
     keys = cut(keys.join(shared, "key"))

@@ -244,6 +244,19 @@ def test_near_copies_recall(spark):
     assert {i: got[i] for i in range(len(texts))} == want
 
 
+def test_near_copies_repeats(spark):
+    """Passages that repeat: the sets are alike, the numbers of words are not."""
+    rng = random.Random(12)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
+    texts = [" ".join([passage] * n) for n in (1, 2, 3, 4)]
+    sketch = simhash.sketched(docs(spark, texts).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), 5)
+    got = {r.id: (r.size, r.block) for r in sketch.select("id", "size", simhash.block_of(F.col("size"), 80).alias("block")).collect()}
+    assert [got[i][0] for i in range(4)] == [len(shingle_set(t)) for t in texts]
+    assert max(b for _, b in got.values()) - min(b for _, b in got.values()) <= 1
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text").collect()}
+    assert {i: got[i] for i in range(4)} == dict.fromkeys(range(4), 0)
+
+
 def test_allot():
     assert simhash.allot([[0, 5, 9], [0, 1, 50], [0, 2, 3]], 1)[0] == min(a + b + c for i, a in enumerate([0, 5, 9]) for j, b in enumerate([0, 1, 50]) for k, c in enumerate([0, 2, 3]) if i + j + k - 3 == 1)
 
