@@ -32,6 +32,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores in front until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def join_spread(rows: DataFrame, groups: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``groups``: one row per key, ``n`` being how many of ``rows`` have it; every key of ``rows`` is there.
+
+    Keys of more than a hundred-thousandth of all rows (512 at least) are broadcast: there are at most
+    100,000 of them, whatever the input, and no task gets all rows of one.
+    """
+    total = groups.agg(F.sum(n)).collect()[0][0] or 0
+    limit = max(512, total // 100_000)
+    hot = F.broadcast(groups.where(F.col(n) > limit).drop(n))
+    cold = groups.where(F.col(n) <= limit).drop(n)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def words_of(text) -> list[bytes]:
     """The words of a text in lower case (A-Z only), as UTF-8; ``bytes`` splits on exactly the six spaces."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()

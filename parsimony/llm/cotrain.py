@@ -1,15 +1,21 @@
 """A quality classifier by co-training.
 
-Two views of a document, its text and its metadata, each have a logistic classifier. Both are
-fitted on labelled documents; then, round by round, each gives the documents of an
-unlabelled pool that it is sure of to the other as pseudo-labels. Both views are calibrated on
-labelled documents kept out of the fit, combined, and applied to every document.
+Two views of a document, its text (words and style) and its page metadata (origin, language, length and
+layout in steps), each have a logistic classifier fitted on labelled documents. Then, round by round, each view scores
+every unlabelled document, and those that it is sure of teach the other view: over the
+whole corpus it is counted how often each feature stands in documents that the one view is sure of, and the
+log-odds of these counts become a second classifier inside the other view, weighed on labelled documents. Both views are calibrated and
+mixed on labelled documents kept out of the fit, and applied to every document.
+
+Features are extracted once and lie in the shared folder; a round reads them and returns
+counts per feature, whose number is fixed. Fits run in a task of their own, not on the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import log1p
 from zlib import crc32
 
@@ -19,14 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import words_of
+from .common import cut, words_of
 
-#: Labelled and unlabelled documents that the fit uses at most. They bound the fit only; every document is scored.
-LABELLED, POOL = 8_000, 2_000
-#: Buckets of hashed words and word beginnings, rounds of co-training, and the calibrated confidence for a pseudo-label.
-BUCKETS, ROUNDS, SURE = 1 << 20, 3, 0.97
+#: Labelled documents that the fit uses at most. They bound the fit only: every document is scored, and every unlabelled one may teach.
+LABELLED = 8_000
+#: Buckets of hashed words and word beginnings and of metadata, rounds of co-training, and the calibrated confidence for a pseudo-label.
+BUCKETS, META_BUCKETS, ROUNDS, SURE = 1 << 19, 1 << 12, 2, 0.97
 #: Sample documents that a feature must stand in to get a weight, and lengths of the word beginnings that are features.
 LEAST_DOCS, STEMS = 3, (4, 5)
+#: Of twenty labelled documents, those that calibrate the views and those that mix them; the others fit.
+CALIBRATE, MIX = (0, 1), (2,)
 #: What a document needs to be kept, as a calibrated probability of being clean.
 KEEP = 0.5
 STYLE = 10
@@ -35,7 +43,7 @@ STRIP = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 
 
 def text_features(text) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the distinct words of the whole text and of their beginnings, and measures of its style."""
+    """Buckets of the distinct words of the whole text and of their beginnings, and measures of its layout."""
     value = text or ""
     found = words_of(value)
     plain = {w.strip(STRIP) for w in set(found)}
@@ -64,19 +72,20 @@ def text_features(text) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.array(style, np.float64)
 
 
-def meta_features(values: tuple) -> np.ndarray:
-    """Buckets of the metadata: each field's value; numbers by their order of magnitude."""
+def meta_features(values: tuple, style: np.ndarray) -> np.ndarray:
+    """Buckets of the metadata: each field's value, numbers by their order of magnitude, and each layout measure in steps."""
     out = []
     for i, v in enumerate(values):
         if isinstance(v, (int, float)) and not isinstance(v, bool):
             v = round(log1p(max(v, 0)) * 2)
-        out.append(crc32(f"{i}={v}".encode()) % 4096)
+        out.append(crc32(f"{i}={v}".encode()) % META_BUCKETS)
+    out += [crc32(f"layout {i}={int(x * 25)}".encode()) % META_BUCKETS for i, x in enumerate(style.tolist())]
     return np.array(sorted(set(out)), np.int32)
 
 
 @dataclass
 class Logistic:
-    """Sparse presence features and a few dense ones."""
+    """Sparse presence features and a few dense ones, fitted on labelled rows."""
 
     words: np.ndarray
     dense: np.ndarray
@@ -86,159 +95,221 @@ class Logistic:
         return np.array([self.words[r].sum() for r in rows]) + dense @ self.dense + self.bias
 
 
-def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, weight: np.ndarray | None = None, steps: int = 250, decay: float = 3e-4) -> Logistic:
+def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, width: int, steps: int = 250, rate: float = 0.05, decay: float = 3e-4) -> Logistic:
     """Regularised logistic regression by Adam on the whole sample; the classes weigh the same."""
     n = len(rows)
     if n == 0 or y.min() == y.max():
-        return Logistic(np.zeros(width), np.zeros(dense.shape[1]), float(y[0] * 2 - 1 if n else 0) * 4)
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+        return Logistic(np.zeros(width, np.float32), np.zeros(dense.shape[1]), float(y[0] * 2 - 1 if n else 0) * 4)
+    flat, owner = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     used, flat, often = np.unique(flat, return_inverse=True, return_counts=True)
-    used, owner, flat = used[often >= LEAST_DOCS], owner[(often >= LEAST_DOCS)[flat]], flat[(often >= LEAST_DOCS)[flat]]
-    flat, whole, width = (np.cumsum(often >= LEAST_DOCS) - 1)[flat], width, len(used)
-    w = np.ones(n) if weight is None else weight
-    w = w * np.where(y > 0.5, 0.5 / max(w[y > 0.5].sum(), 1e-9), 0.5 / max(w[y <= 0.5].sum(), 1e-9))
-    p = np.zeros(width + dense.shape[1] + 1)
+    stays = often >= LEAST_DOCS
+    used, owner, flat = used[stays], owner[stays[flat]], (np.cumsum(stays) - 1)[flat[stays[flat]]].astype(np.int32)
+    m, by_feature = len(used), np.argsort(flat, kind="stable")
+    owners, starts = np.unique(owner, return_index=True)
+    owner_of, feature_starts = owner[by_feature], np.concatenate(([0], np.cumsum(often[stays])[:-1]))
+    w = np.where(y > 0.5, 0.5 / (y > 0.5).sum(), 0.5 / (y <= 0.5).sum())
+    p = np.zeros(m + dense.shape[1] + 1)
+    shrink = np.concatenate([np.ones(m), np.full(dense.shape[1], 0.1), [0.0]])
     first, second = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        z = np.bincount(owner, p[:width][flat], minlength=n) + dense @ p[width:-1] + p[-1]
-        error = w * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.concatenate([np.bincount(flat, error[owner], minlength=width), dense.T @ error, [error.sum()]])
-        g[:-1] += decay * p[:-1] * np.concatenate([np.ones(width), np.full(dense.shape[1], 0.1)])
+        z = dense @ p[m:-1] + p[-1]
+        if m:
+            z[owners] += np.add.reduceat(p[:m][flat], starts)
+        error = w * (sigmoid(z) - y)
+        sparse = np.add.reduceat(error[owner_of], feature_starts) if m else np.zeros(0)
+        g = np.concatenate([sparse, dense.T @ error, [error.sum()]]) + decay * shrink * p
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        p -= 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(whole, np.float32)
-    weights[used] = p[:width]
-    return Logistic(weights, p[width:-1], float(p[-1]))
+        p -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    weights = np.zeros(width, np.float32)
+    weights[used] = p[:m]
+    return Logistic(weights, p[m:-1], float(p[-1]))
 
 
-def calibrate(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling with smoothed targets: probability = sigmoid(a * score + b)."""
-    if len(y) == 0:
-        return 1.0, 0.0
+def newton(x: np.ndarray, y: np.ndarray, start: np.ndarray, pull: float) -> np.ndarray:
+    """Weights of a logistic fit that is pulled towards ``start``; targets are smoothed as in Platt scaling."""
     up, down = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
-    x = np.column_stack([score, np.ones(len(y))])
-    ab = np.array([0.5, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ ab, -35, 35)))
-        h = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (p - target))
-        ab = ab - np.clip(step, -2, 2)
-    return float(ab[0]), float(ab[1])
+    target, ab = np.where(y > 0.5, (up + 1) / (up + 2), 1 / (down + 2)), start
+    for _ in range(60):
+        p = sigmoid(x @ ab)
+        h = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + pull * np.eye(len(start))
+        ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - target) + pull * (ab - start)), -1, 1)
+    return ab
+
+
+def taught_features(rows: list[np.ndarray], taught: np.ndarray) -> np.ndarray:
+    """The mean log-odds of each row's features for sure clean and for sure rejected documents."""
+    return np.array([taught[:, r].mean(axis=1) if len(r) else (0.0, 0.0) for r in rows]).reshape(-1, 2)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
+
+
+@dataclass
+class View:
+    """A classifier of one view: the fit on labelled rows, what the other view's sure documents teach, and how both make a calibrated log-odds."""
+
+    base: Logistic
+    taught: np.ndarray
+    scale: np.ndarray
+
+    def parts(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
+        return np.column_stack([self.base.score(rows, dense), np.ones(len(rows)), taught_features(rows, self.taught)])
+
+
+def _unfitted() -> list[View]:
+    return [View(Logistic(np.zeros(w, np.float32), np.zeros(STYLE), 0.0), np.zeros((2, w), np.float32), np.zeros(4)) for w in (BUCKETS, META_BUCKETS)]
 
 
 @dataclass
 class Model:
-    """Both views, their calibration and their weights in the combination."""
+    """Both views and their weights in the mix."""
 
-    text: Logistic
-    meta: Logistic
-    text_scale: tuple[float, float]
-    meta_scale: tuple[float, float]
-    mix: tuple[float, float, float]
-    centre: np.ndarray
-    spread: np.ndarray
-    pseudo: int = 0
+    views: list[View] = field(default_factory=_unfitted)
+    mix: tuple[float, ...] = (0.0, 0.0, 1.0, 4.0)
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(STYLE))
+    spread: np.ndarray = field(default_factory=lambda: np.ones(STYLE))
+    fitted: bool = False
 
-    def text_logit(self, rows: list[np.ndarray], style: np.ndarray) -> np.ndarray:
-        return self.text.score(rows, (style - self.centre) / self.spread) * self.text_scale[0] + self.text_scale[1]
+    def logits(self, words: list[np.ndarray], meta: list[np.ndarray], style: np.ndarray) -> list[np.ndarray]:
+        """Calibrated log-odds of being clean by the text and by the metadata."""
+        dense = self.dense(style)
+        return [v.parts(r, dense) @ v.scale for v, r in zip(self.views, (words, meta), strict=True)]
 
-    def meta_logit(self, rows: list[np.ndarray]) -> np.ndarray:
-        return self.meta.score(rows, np.zeros((len(rows), 1))) * self.meta_scale[0] + self.meta_scale[1]
+    def dense(self, style: np.ndarray) -> np.ndarray:
+        return (style.reshape(-1, STYLE) - self.centre) / self.spread
 
     def combined(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        a, b, c = self.mix
-        return 1 / (1 + np.exp(-np.clip(a * text + b * meta + c, -35, 35)))
+        return sigmoid(sides(text, meta) @ np.array(self.mix))
 
 
-def co_train(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS, sure: float = SURE) -> Model:
-    """``labelled``: (words, style, meta, y); ``pool``: (words, style, meta). A quarter of the labelled rows only calibrates."""
+def sides(text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """What the mix weighs: either view, and the one that is less sure that the document is clean, since one defect is enough."""
+    return np.column_stack([text, meta, np.minimum(text, meta), np.ones(len(text))])
+
+
+def fit_views(labelled: list[tuple], taught: list[np.ndarray], before: Model | None) -> Model:
+    """``labelled``: (words, meta, style, y). Most rows fit the views, others calibrate them and weigh what they were taught, others mix them."""
+    model = Model()
     if not labelled:
-        empty = Logistic(np.zeros(BUCKETS), np.zeros(STYLE), 0.0)
-        return Model(empty, Logistic(np.zeros(4096), np.zeros(1), 0.0), (1.0, 0.0), (1.0, 0.0), (1.0, 0.0, 4.0), np.zeros(STYLE), np.ones(STYLE))
-    every = max(2, min(4, len(labelled) // 4))
-    held = [r for i, r in enumerate(labelled) if i % every == every - 1] or labelled
-    base = [r for i, r in enumerate(labelled) if i % every != every - 1] or labelled
-    style = np.array([r[1] for r in base])
-    centre, spread = style.mean(axis=0), style.std(axis=0) + 1e-3
-    norm = lambda rows: (np.array([r[1] for r in rows]).reshape(-1, STYLE) - centre) / spread
-    column = lambda rows, i: [r[i] for r in rows]
-    y, held_y = np.array(column(base, 3), float), np.array(column(held, 3), float)
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels for the text view and for the metadata view
-    views: list = [None, None]
-    for r in range(rounds + 1):
-        for v in (0, 1):
-            more = sorted(given[v])
-            rows = column(base, 2 * v) + [pool[i][2 * v] for i in more]
-            dense = np.vstack([norm(base), norm([pool[i] for i in more])]) if v == 0 else np.zeros((len(rows), 1))
-            target = np.concatenate([y, [given[v][i] for i in more]])
-            weight = np.concatenate([np.ones(len(base)), np.full(len(more), 0.5)])
-            model = fit(rows, dense, target, BUCKETS if v == 0 else 4096, weight)
-            score = model.score(column(held, 2 * v), norm(held) if v == 0 else np.zeros((len(held), 1)))
-            views[v] = (model, calibrate(score, held_y), score)
-        if r == rounds or not pool:
-            break
-        for v in (0, 1):
-            model, (a, b), _ = views[v]
-            score = model.score(column(pool, 2 * v), norm(pool) if v == 0 else np.zeros((len(pool), 1)))
-            p = 1 / (1 + np.exp(-np.clip(a * score + b, -35, 35)))
-            given[1 - v] |= {int(i): 1.0 for i in np.flatnonzero(p >= sure)} | {int(i): 0.0 for i in np.flatnonzero(p <= 1 - sure)}
-    (text, text_scale, ts), (meta, meta_scale, ms) = views
-    logits = np.column_stack([ts * text_scale[0] + text_scale[1], ms * meta_scale[0] + meta_scale[1]])
-    ab = np.array([1.0, 0.0, 0.0])  # text alone, to begin with
-    x = np.column_stack([logits, np.ones(len(held_y))])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ ab, -35, 35)))
-        pull = 0.01 * len(held_y)
-        h = x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + pull * np.eye(3)
-        ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - held_y) + pull * (ab - np.array([1.0, 0.0, 0.0]))), -1, 1)
-    return Model(text, meta, text_scale, meta_scale, (float(ab[0]), float(ab[1]), float(ab[2])), centre, spread, len(given[0]) + len(given[1]))
-
-
-def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, meta: list[str], labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled documents and a pool of at most ``pool`` others, both drawn by a hash of the id.
-
-    A document is clean if its quality is 1 and it is not toxic; labels with nulls are not used.
-    """
-    marked = labels.where("quality is not null and toxic is not null").groupBy(doc_id).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    marked = marked.select(doc_id, ((F.col("q") == 1) & (F.col("t") == 0)).cast("int").alias("y"))
-    order = F.xxhash64(F.lit(4), F.col(doc_id))
-    chosen = marked.withColumn("o", order).orderBy("o", doc_id).limit(labelled).select(doc_id, "y")
-    total = docs.count()
-    # of all documents, marked ones aside, about twice the pool by the hash, then the pool itself
-    drawn = docs.select(F.col(doc_id)).withColumn("o", order).where(F.pmod("o", F.lit(max(1, total // (3 * pool)))) == 0)
-    others = drawn.join(marked, doc_id, "left_anti").orderBy("o", doc_id).limit(pool).select(doc_id, F.lit(-1).alias("y"))
-    wanted = F.broadcast(chosen.union(others))  # at most labelled + pool rows of two numbers
+        return model
+    part = lambda kinds: [r for i, r in enumerate(labelled) if i % 20 in kinds] or labelled
+    base, held, mixed = part([k for k in range(20) if k not in CALIBRATE + MIX]), part(CALIBRATE), part(MIX)
+    y = lambda rows: np.array([r[3] for r in rows], float)
+    style = lambda rows: np.array([r[2] for r in rows])
+    model.centre, model.spread, model.fitted = style(base).mean(axis=0), style(base).std(axis=0) + 1e-3, True
+    dense, of_held = model.dense(style(base)), model.dense(style(held))
+    for v in (0, 1):
+        made = before.views[v].base if before else fit([r[v] for r in base], dense, y(base), len(model.views[v].base.words))
+        model.views[v] = View(made, taught[v], np.zeros(4))
+        model.views[v].scale = newton(model.views[v].parts([r[v] for r in held], of_held), y(held), np.array([0.5, 0.0, 0.0, 0.0]), 1e-3 * len(held))
+    x = sides(*model.logits([r[0] for r in mixed], [r[1] for r in mixed], style(mixed)))
+    model.mix = tuple(newton(x, y(mixed), np.array([0.0, 0.0, 1.0, 0.0]), 5.0).tolist())
+    return model
+
+
+def sure_counts(model: Model, words: list[np.ndarray], meta: list[np.ndarray], style: np.ndarray, counts: list[np.ndarray], sure: float = SURE) -> None:
+    """Adds to the counts of each view's features: in all documents, in those that the other view finds clean for sure, and in those that it rejects for sure; the last column counts documents."""
+    p = [sigmoid(x) for x in model.logits(words, meta, style)]
+    for v, rows in enumerate((words, meta)):
+        other = p[1 - v]
+        for kind, chosen in enumerate((np.ones(len(rows), bool), other >= sure, other <= 1 - sure)):
+            counts[v][kind, -1] += chosen.sum()
+            if chosen.any():
+                flat = np.concatenate([r for r, c in zip(rows, chosen.tolist(), strict=True) if c])
+                counts[v][kind, :-1] += np.bincount(flat, minlength=counts[v].shape[1] - 1)
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Per feature how much more often than in all documents it stands in the sure clean and in the sure rejected ones; 0 where that is not known."""
+    every, total = counts[0, :-1] + 1, counts[0, -1] + 2
+    out = [np.log((counts[k, :-1] + every / total * 2) / (counts[k, -1] + 2) / (every / total)) if counts[k, -1] else np.zeros(len(every)) for k in (1, 2)]
+    return np.where(counts[0, :-1] >= LEAST_DOCS, out, 0.0).astype(np.float32)
+
+
+def features(docs: DataFrame, doc_id: str, text: str, meta: list[str]) -> DataFrame:
+    """(id, h, words, meta, style) of every document, its whole text; h is a hash of the text."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), *[F.col(m).alias(f"m{i}") for i, m in enumerate(meta)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list] = [[], [], []]
-            fields = [batch.column(2 + i).to_pylist() for i in range(len(meta))]
-            for i, x in enumerate(batch.column(1)):
-                hashed, style = text_features(x.as_py())
-                made[0].append(hashed.tolist())
-                made[1].append(style.tolist())
-                made[2].append(meta_features(tuple(f[i] for f in fields)).tolist())
+            made = [text_features(x.as_py()) for x in batch.column(2)]
+            fields = [batch.column(3 + i).to_pylist() for i in range(len(meta))]
+            values = [meta_features(tuple(f[i] for f in fields), style) for i, (_, style) in enumerate(made)]
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(m, t) for m, t in zip(made, (ints, pa.list_(pa.float64()), ints), strict=True)], batch.column(2 + len(meta))], names=["id", "words", "style", "meta", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([w for w, _ in made], ints), pa.array(values, ints), pa.array([s for _, s in made], pa.list_(pa.float64()))], names=["id", "h", "words", "meta", "style"]
+            )
 
-    rows = docs.join(wanted, doc_id).select(F.col(doc_id).alias("id"), F.col(text), *meta, "y")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    got = rows.mapInArrow(run, f"id {kind}, words array<int>, style array<double>, meta array<int>, y int").limit(2 * (labelled + pool)).toArrow()
-    order_of = np.argsort(np.array([str(x) for x in got["id"].to_pylist()]), kind="stable")
-    words, meta_rows, style = (_slices(got[c]) for c in ("words", "meta", "style"))
-    y = got["y"].to_pylist()
-    all_rows = [(words[i], style[i], meta_rows[i], y[i]) for i in order_of]
-    return co_train([r for r in all_rows if r[3] >= 0], [r[:3] for r in all_rows if r[3] < 0])
+    return rows.mapInArrow(run, f"id {kind}, h long, words array<int>, meta array<int>, style array<double>")
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, meta: list[str], labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
+    """Fit on at most ``labelled`` labelled documents, drawn by a hash of the id, and on what both views are sure of among all others.
+
+    A document is clean if its quality is 1 and it is not toxic; labels with nulls are not used. Of several rows
+    with a labelled id one counts, the same whatever the order of rows. Without labels, or without labelled
+    documents, every document is found clean.
+    """
+    marked = labels.where("quality is not null and toxic is not null").groupBy(F.col(doc_id).alias("id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    marked = marked.select("id", ((F.col("q") == 1) & (F.col("t") == 0)).cast("int").alias("y"))
+    order = F.xxhash64(F.lit(4), F.col("id"))
+    there = docs.select(F.col(doc_id).alias("id"))
+    chosen = cut(marked.join(there, "id", "left_semi").withColumn("o", order).orderBy("o", "id").limit(labelled))
+    rows = cut(features(docs, doc_id, text, meta).join(F.broadcast(chosen), "id", "left"))  # at most ``labelled`` rows of three numbers
+    sample = rows.where("y is not null").groupBy("id").agg(F.min(F.struct("o", "h", "words", "meta", "style", "y")).alias("r")).select("id", "r.*")
+    sample = cut(sample.repartition(1))  # at most ``labelled`` rows
+    others = rows.where("y is null").select("words", "meta", "style")
+    context = docs.sparkSession.sparkContext
+
+    def fitted(sent) -> bytes:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, before = pickle.loads(sent.value)
+            taught = [log_odds(c) for c in counts] if counts else [np.zeros((2, w), np.float32) for w in (BUCKETS, META_BUCKETS)]
+            rows = sorted((row for batch in batches for row in _rows(batch)), key=lambda r: r[0])
+            model = fit_views([r[1:] for r in rows], taught, before)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+        made = sample.select("words", "meta", "style", "y", "o", F.col("id").cast("string").alias("id"), "h").mapInArrow(run, "model binary").collect()
+        return made[0][0] if made else pickle.dumps(Model())
+
+    model = fitted(context.broadcast(pickle.dumps((None, None))))
+    for _ in range(rounds):
+        if not pickle.loads(model).fitted:
+            break
+        sent = context.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            model = pickle.loads(sent.value)
+            counts = [np.zeros((3, len(v.base.words) + 1), np.int64) for v in model.views]
+            for batch in batches:
+                sure_counts(model, _lists(batch.column(0)), _lists(batch.column(1)), batch.column(2).flatten().to_numpy(), counts)
+            for v, c in enumerate(counts):
+                b = np.flatnonzero(c[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), v, np.int32)), pa.array(b.astype(np.int32)), *[pa.array(x[b]) for x in c]], names=["view", "b", "every", "clean", "bad"])
+
+        sums = others.mapInArrow(run, "view int, b int, every long, clean long, bad long").groupBy("view", "b").agg(*[F.sum(c).alias(c) for c in ("every", "clean", "bad")])
+        got = sums.where(F.col("every") >= LEAST_DOCS).toArrow()  # one row per bucket at most
+        counts = [np.zeros((3, w + 1), np.int64) for w in (BUCKETS, META_BUCKETS)]
+        view, b = got["view"].to_numpy(), got["b"].to_numpy()
+        for v in (0, 1):
+            for k, c in enumerate(("every", "clean", "bad")):
+                counts[v][k, b[view == v]] = got[c].to_numpy()[view == v]
+        model = fitted(context.broadcast(pickle.dumps((counts, pickle.loads(model)))))
+    return pickle.loads(model)
 
 
-def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
     """The lists of a column as views of one array."""
-    out = []
-    for chunk in column.chunks:
-        values, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
-        out += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return out
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    words, meta, style, y, o, name, h = batch.columns
+    for w, m, s, label, *key in zip(_lists(words), _lists(meta), _lists(style), y.to_pylist(), o.to_pylist(), name.to_pylist(), h.to_pylist(), strict=True):
+        yield (*[tuple(key)], w, m, s, label)
 
 
 def score(docs: DataFrame, text: str, meta: list[str], model: Model, keep: float = KEEP) -> DataFrame:
@@ -255,13 +326,12 @@ def score(docs: DataFrame, text: str, meta: list[str], model: Model, keep: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            view = {n: batch.column(batch.schema.get_field_index(n)) for n in names}
-            features = [text_features(x.as_py()) for x in view[text]]
+            view = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+            found = [text_features(x.as_py()) for x in view[text]]
             values = [view[m].to_pylist() for m in meta]
-            a = model.text_logit([f[0] for f in features], np.array([f[1] for f in features]).reshape(-1, STYLE))
-            b = model.meta_logit([meta_features(tuple(v[i] for v in values)) for i in range(len(features))])
+            of_meta = [meta_features(tuple(v[i] for v in values), style) for i, (_, style) in enumerate(found)]
+            a, b = model.logits([w for w, _ in found], of_meta, np.array([s for _, s in found]))
             p = model.combined(a, b)
-            sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*view.values(), pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(p), pa.array(p >= keep)], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*[view[n] for n in names], pa.array(sigmoid(a)), pa.array(sigmoid(b)), pa.array(p), pa.array(p >= keep)], names=[*names, *made])
 
     return docs.mapInArrow(run, schema)

@@ -23,16 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, words_of
-from .decontaminate import shingle_hashes
+from .common import connected_components, cut, join_spread, words_of
 
 BITS = 64
-#: Fingerprints under one key beyond which the key is dealt out in tiles.
-TILE = 1024
+#: Fingerprints under one key beyond which the key is dealt out in tiles; the same for shingle sets, which are larger.
+TILE, SET_TILE = 1024, 512
+#: Texts under one MinHash key up to which their pairs are joined one by one.
+FEW = 12
 #: What a probe row costs against a candidate pair, as measured on sorted joins.
 PROBE_COST = 6.0
-#: MinHash keys of a text and minima in each: two texts of a Jaccard similarity of 0.8 have no key in common once in 13,700 times, more alike ones more rarely.
-KEYS, MINIMA = 24, 5
+#: MinHash keys of a text and minima in each: sets of a cosine similarity of 0.8 have a Jaccard similarity of 0.64 at least and so no key in common once in 1,480 times, more alike ones more rarely.
+KEYS, MINIMA = 24, 3
 _draw = np.random.default_rng(42)
 FACTORS = _draw.integers(0, 1 << 63, (KEYS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _draw.integers(0, 1 << 63, (KEYS * MINIMA, 1), np.uint64)
@@ -58,36 +59,55 @@ def fingerprint_of(text, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def minhash_keys(text, shingle: int = 5) -> tuple[int, np.ndarray]:
-    """The number of distinct shingles and ``KEYS`` numbers, each a hash of ``MINIMA`` minima over the text's shingles; fewer words count as one shingle."""
+def shingle_set(text, shingle: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles; fewer words are one shingle, none are none."""
     words = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], np.uint64)
-    n = max(len(words) - shingle + 1, min(len(words), 1))
-    width = min(shingle, len(words))
-    hashes = np.zeros(n, np.uint64)
-    for k in range(width):
-        hashes += words[k : k + n] * PLACES[k]
-    hashes = np.unique(hashes)
-    n = len(hashes)
+    hashes = np.zeros(max(len(words) - shingle + 1, min(len(words), 1)), np.uint64)
+    for k in range(min(shingle, len(words))):
+        hashes += words[k : k + len(hashes)] * PLACES[k]
+    hashes ^= hashes >> np.uint64(31)
+    return np.unique(hashes * PLACES[-1])
+
+
+def minhash_keys(hashes: np.ndarray) -> np.ndarray:
+    """``KEYS`` numbers, each a hash of ``MINIMA`` minima over a set of hashes."""
     low = np.full(KEYS * MINIMA, (1 << 64) - 1, np.uint64)
-    for k in range(0, n, 1 << 12):
+    for k in range(0, len(hashes), 1 << 12):
         low = np.minimum(low, (FACTORS * hashes[k : k + (1 << 12)] + TERMS).min(axis=1))
-    return n, np.array([xxhash.xxh64_intdigest(low[k * MINIMA : (k + 1) * MINIMA].tobytes(), k) for k in range(KEYS)], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(low[k * MINIMA : (k + 1) * MINIMA].tobytes(), k) for k in range(KEYS)], np.uint64).view(np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: bit b is 1 if it is set in over half of them."""
+    counts = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
 def sketched(df: DataFrame, shingle: int) -> DataFrame:
-    """``id``, ``size`` and ``keys`` of a frame of ``id`` and ``text``: the number of distinct shingles and the MinHash keys."""
+    """``df`` with ``fp`` and ``keys`` in place of ``text``: the fingerprint and the MinHash keys of its shingle set."""
+    keep = [f for f in df.schema.fields if f.name != "text"]
+    names = [f.name for f in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [minhash_keys(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([k for _, k in made], pa.list_(pa.int64()))], names=["id", "size", "keys"])
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column(len(names))]
+            fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], fps, pa.array([minhash_keys(s) for s in sets], pa.list_(pa.int64()))], names=[*names, "fp", "keys"])
+
+    return df.select(*names, "text").mapInArrow(run, T.StructType([*keep, T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
-    return df.select("id", "text").mapInArrow(run, "id long, size long, keys array<long>")
 
+def sets_of(df: DataFrame, shingle: int) -> DataFrame:
+    """``id`` and ``s``, the shingle set, of a frame of ``id`` and ``text``."""
 
-def block_of(size: Column, percent: int) -> Column:
-    """The order of magnitude of a number of distinct shingles: sets of a Jaccard similarity of ``percent`` % are one apart at most."""
-    return F.floor(F.log(F.greatest(size, F.lit(1))) / np.log(100 / percent)).cast("int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+
+    return df.select("id", "text").mapInArrow(run, T.StructType([df.schema["id"], T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
 def fingerprints(df: DataFrame, text: str, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
@@ -213,7 +233,7 @@ def tile_links(values: np.ndarray, left: np.ndarray, right: np.ndarray, tau: int
 
 
 def tile_copies(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[list[int], list[int]]:
-    """Links that join all of a tile's texts whose sets have a Jaccard similarity of ``percent`` %: a forest of such pairs only.
+    """Links that join all of a tile's texts whose sets have a cosine similarity of ``percent`` %: a forest of such pairs only.
 
     Texts of one label are joined already.
     """
@@ -231,7 +251,7 @@ def tile_copies(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, rig
         marked[own[i]] = True
         common = np.diff(np.concatenate(([0], np.cumsum(marked[there])))[ends])
         marked[own[i]] = False
-        for j in right[common * (100 + percent) >= (sizes[i] + sizes[right]) * percent].tolist():
+        for j in right[common * common * 10_000 >= sizes[i] * sizes[right] * percent**2].tolist():
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 out[0].append(i)
@@ -240,24 +260,23 @@ def tile_copies(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, rig
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (``id``, ``s``) have a Jaccard similarity of ``percent`` % or more."""
+    """The pairs (a, b, ...) whose sets (``id``, ``s``) have a cosine similarity of ``percent`` % or more: common shingles against the geometric mean of the sizes."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("t"))
-    return common.where(F.col("c") * (100 + percent) >= F.col("t") * percent).select("a", "b")
+    common, product = F.size(F.array_intersect("x", "y")).cast("long"), F.size("x").cast("long") * F.size("y")
+    return both.where(common * common * 10_000 >= product * percent**2).select(*pairs.columns)
 
 
-def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of node ids whose fingerprints are at most ``tau`` bits apart and whose blocks at most ``reach``.
+def links(nodes: DataFrame, tau: int, tile: int = TILE) -> DataFrame:
+    """Pairs (a, b) of node ids whose fingerprints are at most ``tau`` bits apart.
 
-    ``nodes`` has ``id``, ``fp`` and a whole number ``block``. Keys of up to ``tile`` nodes are
-    joined and give every pair; larger ones are dealt out in tiles, each of which returns a
-    spanning forest of its links, so that no key meets in one task and the components are
-    those of all pairs.
+    ``nodes`` has ``id`` and ``fp``. Keys of up to ``tile`` nodes are joined and give every pair;
+    larger ones are dealt out in tiles, each of which returns a spanning forest of its links, so
+    that no key meets in one task and the components are those of all pairs.
     """
-    index, probe = keyed(nodes, tau, reach)
+    index, probe = keyed(nodes, tau)
     kind = nodes.schema["id"].dataType.simpleString()
-    near = F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau
-    found, members = meet(index, probe, near, tile)
+    found, members = meet(index, probe, F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau, tile)
+    found = found.select("a", "b")
     if members is None:
         return found
 
@@ -271,33 +290,30 @@ def links(nodes: DataFrame, tau: int, reach: int = 0, tile: int = TILE) -> DataF
     return found.union(tiled(members).groupBy("key", "i", "j").applyInPandas(run, f"a {kind}, b {kind}"))
 
 
-def keyed(nodes: DataFrame, tau: int, reach: int) -> tuple[DataFrame, DataFrame]:
+def keyed(nodes: DataFrame, tau: int) -> tuple[DataFrame, DataFrame]:
     """(key, f, b) and (key, g, a): the rows by which nodes are found and those that look for them, and their ``label`` as m and l if there is one."""
     n, sums = moments(nodes)
-    # rows carry one hash of part, value and block, as they are many; what it confuses, the distance tells apart
+    # rows carry one hash of part and value, as they are many; what it confuses, the distance tells apart
     rows = []
     label = ["label"] if "label" in nodes.columns else []
-    fp, near_blocks = F.col("fp"), F.array(*[F.col("block") + i for i in range(-reach, reach + 1)])
+    fp = F.col("fp")
     for k, (part, t) in enumerate(plan(n, sums, tau)):
         flips = [sum(1 << (BITS - 1 - b) for b in c) for d in range(t + 1) for c in combinations(part, d)]
         signed = F.array(*[F.lit(x - (1 << 64) if x >> 63 else x).cast("long") for x in flips])
-        rows.append(nodes.select("id", *label, "fp", "block", F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
-    stacked = rows[0]
-    for r in rows[1:]:
-        stacked = stacked.union(r)
-    key = F.xxhash64("part", "value", "block").alias("key")
+        rows.append(F.struct(F.lit(k).alias("part"), key_of(fp, part).alias("value"), signed.alias("flips")))
+    stacked = nodes.select("id", *label, "fp", F.explode(F.array(*rows)).alias("row")).select("id", *label, "fp", "row.*")
+    key = F.xxhash64("part", "value").alias("key")
     index = stacked.select(key, F.col("fp").alias("f"), F.col("id").alias("b"), *[F.col(c).alias("m") for c in label])
-    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", near_blocks.alias("blocks"), F.col("fp").alias("g"), F.col("id").alias("a"), *[F.col(c).alias("l") for c in label])
-    probe = probe.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).withColumn("block", F.explode("blocks"))
-    return index, probe.select(key, "g", "a", *["l" for _ in label])
+    probe = stacked.select("part", F.explode("flips").alias("flip"), "value", F.col("fp").alias("g"), F.col("id").alias("a"), *[F.col(c).alias("l") for c in label])
+    return index, probe.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).select(key, "g", "a", *["l" for _ in label])
 
 
 def meet(index: DataFrame, probe: DataFrame, near: Column, tile: int) -> tuple[DataFrame, DataFrame | None]:
-    """The pairs (a, b) that keys of up to ``tile`` nodes give, and the members of the larger keys (key, fp, id, tiles), if there are any."""
+    """The pairs that keys of up to ``tile`` nodes give, and the members of the larger keys (key, fp, id, tiles), if there are any."""
     hot = cut(index.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
     few = hot.limit(1).count() == 0
     cold = index if few else index.join(hot, "key", "left_anti")
-    found = probe.join(cold, (probe["key"] == cold["key"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    found = probe.join(cold, (probe["key"] == cold["key"]) & (F.col("a") < F.col("b")) & near).drop("key", "f", "g")
     if few:
         return found, None
     # a hot key: its index rows and the probes that reach it are one set
@@ -314,87 +330,77 @@ def tiled(members: DataFrame) -> DataFrame:
     return members.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("tiles", "other")
 
 
-def copies(index: DataFrame, probe: DataFrame, near: Column, tile: int, sets_of, percent: int) -> DataFrame:
-    """Pairs (a, b) that are ``alike`` among those of different labels that meet under a key.
-
-    ``sets_of`` gives the sets of a frame of ids. A key of more than ``tile`` nodes is verified inside its
-    tiles: these return a forest of verified pairs, so that no pair is lost to a text that is like neither.
-    """
-    found, members = meet(index, probe, near & (F.col("l") != F.col("m")), tile)
-    found = cut(found.distinct())
-    out = alike(found, sets_of(found.select(F.explode(F.array("a", "b")).alias("id"))), percent)
-    if members is None:
-        return out
-    mixed = members.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
-    members = cut(members.join(mixed, "key", "left_semi").drop("fp"))
-    tiles = tiled(members).join(sets_of(members.select("id")), "id")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, sets = pdf["own"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["s"]]
-        left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
-        a, b = tile_copies(sets, pdf["label"].to_numpy(), left, right, percent) if len(left) and len(right) else ([], [])
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-    return out.union(tiles.groupBy("key", "i", "j").applyInPandas(run, "a long, b long"))
-
-
 def near_duplicates(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``df`` without ``text`` and with ``fp`` (signed) and ``component_id``.
+    """``df`` without ``text`` and with ``fp`` (signed) and ``component_id``, which replace columns of these names.
 
     ``component_id`` is the smallest ``doc_id`` that links of at most ``tau`` bits reach, the row's own
     included. Null texts count as empty, texts without words share the fingerprint zero. A null
     id is no smallest id: its row takes the component of its fingerprint, null if it is
     alone. Equal rows stay, each with the same component. An empty table gives an empty result.
     """
-    rows = cut(fingerprints(df, text, shingle, seed))
-    nodes = cut(rows.groupBy("fp").agg(F.min(doc_id).alias("low")))
-    components = connected_components(links(nodes.select("fp", F.col("fp").alias("id"), F.lit(0).alias("block")), tau))
-    labelled = nodes.join(components, nodes["fp"] == components["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "low")
+    rows = cut(fingerprints(df.drop("component_id") if "component_id" not in (doc_id, text) else df, text, shingle, seed))
+    nodes = cut(rows.groupBy("fp").agg(F.min(doc_id).alias("low"), F.count("*").alias("n")))
+    components = connected_components(links(nodes.select("fp", F.col("fp").alias("id")), tau))
+    labelled = nodes.join(components, nodes["fp"] == components["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "low", "n")
     lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_fp = labelled.join(lowest, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp")
+    return join_spread(rows, labelled.join(lowest, "label").select("fp", "component_id", "n"), "fp")
 
 
-def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 8, coarse: int = 2, shingle: int = 5, percent: int = 80, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_id, component_id): groups of texts whose ``shingle``-word shingles have a Jaccard similarity of ``percent`` % or more.
+def near_copies(df: DataFrame, doc_id: str, text: str, tau: int = 4, shingle: int = 5, percent: int = 80, few: int = FEW, tile: int = SET_TILE) -> DataFrame:
+    """(doc_id, text_id, component_id): groups of texts whose sets of ``shingle``-word shingles have a cosine similarity of ``percent`` % or more.
 
-    Candidates are texts whose fingerprints of ``coarse``-word shingles lie at most ``tau`` bits apart, and texts with a
-    MinHash key in common, since added or missing passages move more bits than words that change.
-    Each text is first compared with the smallest of each key; what is in one group by then is not compared again,
-    so that a large group takes no square of its size. As their numbers of distinct shingles differ by a quarter at most, keys of fingerprints also hold the count's order of magnitude.
-    Every candidate is verified on the shingle sets. Equal texts are one node. ``component_id`` is the
+    The cosine is what a fingerprint estimates. Candidates are texts whose fingerprints lie at most ``tau`` bits apart,
+    and texts with a MinHash key in common, since at the lowest similarity fingerprints differ in far more bits.
+    Every candidate is verified on the shingle sets. First each text meets the smallest text of its keys; what
+    is in one group by then is not compared again, so that a large group takes no square of its size. Keys with more than one group
+    are compared whole: pair by pair, or in tiles that return a forest of verified pairs, so that no pair is lost to
+    a text that is like neither. Equal texts are one node, named by their MD5. ``component_id`` is the
     smallest id of the group; texts without words are equal. A null id is no smallest id.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = cut(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.md5(body).alias("text_id"), F.col(text).alias("text")), "text", coarse))
-    nodes = rows.groupBy("text_id").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"))
-    # links run over 64-bit handles, which stand for the texts
-    sketch = cut(sketched(df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")), shingle).dropDuplicates(["id"]))
-    nodes = cut(nodes.withColumn("id", F.xxhash64("text_id")).join(sketch.select("id", block_of(F.col("size"), percent).alias("block")), "id"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        whole = df.select(F.xxhash64(F.md5(body)).alias("id"), body.alias("text")).join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-        return cut(whole.select("id", F.array_distinct(shingle_hashes(F.col("text"), shingle)).alias("s")))
-
-    keys = sketch.select("id", F.explode("keys").alias("key"))
-    shared = cut(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"))
+    name = F.unhex(F.md5(body))
+    rows = cut(sketched(df.select(F.col(doc_id).alias("doc_id"), name.alias("id"), body.alias("text")), shingle))
+    nodes = cut(rows.groupBy("id").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    texts = df.select(name.alias("id"), body.alias("text")).dropDuplicates(["id"])
+
+    def sets(ids: DataFrame) -> DataFrame:
+        return sets_of(texts.join(ids.distinct(), "id", "left_semi"), shingle)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+    keys = nodes.select("id", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     keys = cut(keys.join(shared, "key"))
-    stars = cut(keys.where("a < id").select("a", F.col("id").alias("b")).distinct())
-    near_stars = cut(alike(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("id"))), percent))
-    first = connected_components(near_stars)
-    known = cut(nodes.join(first, nodes["id"] == first["node"], "left").select("id", F.coalesce("label", "id").alias("label"), "fp", "block"))
-    index, probe = keyed(known, tau, 1)
-    # a key whose texts are in one group has no more to find; the others' rows have no fingerprint to meet
-    named = keys.select("key", "id").join(known.select("id", "label"), "id")
-    open_keys = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-    rest = cut(named.join(open_keys, "key", "left_semi"))
-    nothing = F.lit(None).cast("long")
-    index = index.union(rest.select("key", nothing, "id", "label"))
-    probe = probe.union(rest.select("key", nothing, "id", "label"))
-    near = F.col("f").isNull() & F.col("g").isNull() | (F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau)
-    more = copies(index, probe, near, tile, sets_of, percent)
-    components = connected_components(near_stars.select("a", "b", F.lit(0)).union(more.select("a", "b", F.lit(1))))
-    labelled = nodes.join(components, nodes["id"] == components["node"], "left").select("text_id", F.coalesce("label", "id").alias("label"), "low")
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    return rows.select("doc_id", "text_id").join(labelled.join(lowest, "label").select("text_id", "component_id"), "text_id")
+    stars = cut(keys.where("a < id").groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")))
+    first = connected_components(alike(stars, cut(sets(ends(stars))), percent))
+    known = cut(nodes.join(first, nodes["id"] == first["node"], "left").select("id", F.coalesce("label", "id").alias("label"), "low", "n", "fp"))
+    # what is left: fingerprints that are near, and keys of more than one group
+    index, probe = keyed(known, tau)
+    found, members = meet(index, probe, (F.bit_count(F.col("g").bitwiseXOR(F.col("f"))) <= tau) & (F.col("l") != F.col("m")), TILE)
+    named = keys.join(known.select("id", "label"), "id")
+    mixed = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
+    rest = cut(named.join(mixed, "key", "left_semi").select("key", "id", "label", "n"))
+    small = rest.where(F.col("n") <= few)
+    other = small.select("key", F.col("id").alias("b"), F.col("label").alias("m"))
+    side = small.select("key", F.col("id").alias("a"), F.col("label").alias("l")).join(other, "key").where("a < b and l <> m")
+    pairs = cut(found.select("a", "b", "l", "m").union(side.select("a", "b", "l", "m")).distinct())
+    large = rest.where(F.col("n") > few).select("key", "id", "label", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    if members is not None:
+        alone = members.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("key")
+        large = large.union(members.join(alone, "key", "left_semi").select("key", "id", "label", "tiles"))
+    large = cut(large)
+    compared = cut(sets(ends(pairs).union(large.select("id"))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, found = pdf["own"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["s"]]
+        left, right = np.flatnonzero(own == pdf["i"].iloc[0]), np.flatnonzero(own == pdf["j"].iloc[0])
+        label = pdf["label"].to_numpy()
+        l, m = tile_copies(found, label, left, right, percent) if len(left) and len(right) else ([], [])
+        return pd.DataFrame({"l": label[l], "m": label[m]})
+
+    verified = tiled(large).join(compared, "id").groupBy("key", "i", "j").applyInPandas(run, "l binary, m binary")
+    groups = connected_components(alike(pairs, compared, percent).select("l", "m").union(verified), "l", "m")
+    labelled = known.join(groups.select(F.col("node").alias("label"), F.col("label").alias("group")), "label", "left").select("id", F.coalesce("group", "label").alias("group"), "low", "n")
+    lowest = labelled.groupBy("group").agg(F.min("low").alias("component_id"))
+    return join_spread(rows.select("doc_id", "id"), labelled.join(lowest, "group").select("id", "component_id", "n"), "id").select("doc_id", F.lower(F.hex("id")).alias("text_id"), "component_id")

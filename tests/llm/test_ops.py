@@ -148,6 +148,15 @@ def test_near_duplicates(spark):
             assert (r.fp & (1 << 64) - 1, r.component_id) == (fps[r.doc_id], want[r.doc_id])
     assert next(r for r in got if r.doc_id is None).component_id is None
     assert simhash.near_duplicates(empty(spark), "doc_id", "text").count() == 0
+    clash = simhash.near_duplicates(docs(spark).withColumns({"component_id": F.lit("x"), "fp": F.lit("y"), "n": F.lit("kept")}), "doc_id", "text")
+    assert clash.columns.count("component_id") == 1 and clash.columns.count("fp") == 1
+    assert {(r.doc_id, r.fp, r.component_id, r.n) for r in clash.collect()} == {(r.doc_id, r.fp, r.component_id, "kept") for r in got}
+
+
+def test_hot_fingerprint(spark):
+    """A third of all rows in one group: its key is broadcast, the others are joined."""
+    got = simhash.near_duplicates(docs(spark, ["same text"] * 900 + [f"w{i} x{i} y{i} z{i} a{i}" for i in range(40)]), "doc_id", "text").collect()
+    assert len(got) == 941 and {r.component_id for r in got if r.doc_id is not None and r.doc_id < 900} == {0}
 
 
 @pytest.mark.parametrize("tile", [8, 10_000])
@@ -160,7 +169,7 @@ def test_links(spark, tile):
             values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
     values = sorted(values)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    nodes = spark.createDataFrame([(s, s, 0) for s in signed], "id long, fp long, block int")
+    nodes = spark.createDataFrame([(s, s) for s in signed], "id long, fp long")
     found = {r.node: r.label for r in connected_components(simhash.links(nodes, 4, tile=tile)).collect()}
     want = naive_components(values, lambda a, b: (a ^ b).bit_count() <= 4)
     groups = Counter()
@@ -186,10 +195,10 @@ def shingle_set(text, n=5):
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def jaccard_groups(texts, percent=80):
-    """Smallest position of each text's group, from plain Jaccard similarities of all pairs."""
+def alike_groups(texts, percent=80):
+    """Smallest position of each text's group, from the plain cosine similarities of the shingle sets of all pairs."""
     sets = [shingle_set(t) for t in texts]
-    return naive_components(sets, lambda a, b: 100 * len(a & b) >= percent * len(a | b))
+    return naive_components(sets, lambda a, b: len(a & b) ** 2 * 10_000 >= percent**2 * len(a) * len(b))
 
 
 @pytest.mark.parametrize("tile", [2, 10_000])
@@ -203,8 +212,22 @@ def test_near_copies_between_unlike(spark, tile):
             texts.append(" ".join([*base, *[f"x{k % 2}{i}" for i in range(4 + k)]]))
     far = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(100)) for _ in range(5)]
     texts += far + [f"{t} y{i}" for i, t in enumerate(far)]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text", tile=tile).collect()}
-    assert {i: got[i] for i in range(len(texts))} == jaccard_groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text", few=tile, tile=tile).collect()}
+    assert {i: got[i] for i in range(len(texts))} == alike_groups(texts)
+
+
+@pytest.mark.parametrize("tile", [7, 512])
+def test_near_copies_in_a_large_group(spark, tile):
+    """Many variants of one text, with keys in tiles smaller than the group, and the same keys pair by pair."""
+    rng, texts = random.Random(9), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    for _ in range(60):
+        w = base.copy()
+        for i in rng.sample(range(120), rng.randint(1, 9)):
+            w[i] = f"s{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text", few=4, tile=tile).collect()}
+    assert {i: got[i] for i in range(len(texts))} == alike_groups(texts)
 
 
 def test_tile_copies():
@@ -232,13 +255,14 @@ def edited(rng, text, kind, share):
 
 
 def test_near_copies_recall(spark):
-    """Every copy of a Jaccard similarity of 0.8 or more is found, with no filter of fingerprints in the brute force."""
+    """Copies of a similarity of 0.8 or more are found, with no filter of fingerprints in the brute force."""
     rng, texts = random.Random(11), []
     for k in range(45):
         base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 400)))
-        texts += [base, edited(rng, base, ("appended", "cut", "substituted")[k % 3], rng.uniform(0.05, 0.24))]
-    far = [k for k in range(0, len(texts), 2) if (simhash.fingerprint_of(texts[k], 2) ^ simhash.fingerprint_of(texts[k + 1], 2)).bit_count() > 8]
-    want = jaccard_groups(texts)
+        kind = ("appended", "cut", "substituted")[k % 3]
+        texts += [base, edited(rng, base, kind, rng.uniform(0.05, {"appended": 0.54, "cut": 0.35, "substituted": 0.24}[kind]))]
+    far = [k for k in range(0, len(texts), 2) if (simhash.majority(simhash.shingle_set(texts[k])) ^ simhash.majority(simhash.shingle_set(texts[k + 1]))).bit_count() > 4]
+    want = alike_groups(texts)
     assert any(want[k + 1] == k for k in far)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text").collect()}
     assert {i: got[i] for i in range(len(texts))} == want
@@ -249,10 +273,7 @@ def test_near_copies_repeats(spark):
     rng = random.Random(12)
     passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(120))
     texts = [" ".join([passage] * n) for n in (1, 2, 3, 4)]
-    sketch = simhash.sketched(docs(spark, texts).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), 5)
-    got = {r.id: (r.size, r.block) for r in sketch.select("id", "size", simhash.block_of(F.col("size"), 80).alias("block")).collect()}
-    assert [got[i][0] for i in range(4)] == [len(shingle_set(t)) for t in texts]
-    assert max(b for _, b in got.values()) - min(b for _, b in got.values()) <= 1
+    assert [len(simhash.shingle_set(t)) for t in texts] == [len(shingle_set(t)) for t in texts]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs(spark, texts), "doc_id", "text").collect()}
     assert {i: got[i] for i in range(4)} == dict.fromkeys(range(4), 0)
 
@@ -321,6 +342,46 @@ def test_cotrain(spark):
     assert cotrain.score(empty(spark), "text", ["lang"], model).count() == 0
     none = cotrain.train(empty(spark), known.where("false"), "doc_id", "text", ["lang", "source", "n_chars"])
     assert all(r.keep for r in cotrain.score(docs(spark), "text", ["lang", "source", "n_chars"], none).collect())
+    # repeated ids, clashing names and the order of rows change nothing in the fit
+    twice = df.union(df.where("doc_id < 300")).withColumns({n: F.lit("clash") for n in ("y", "o", "h", "id", "words")})
+    again = [cotrain.train(x, known, "doc_id", "text", ["lang", "source", "n_chars"], rounds=0) for x in (twice, twice.orderBy(F.desc("doc_id")))]
+    assert np.array_equal(again[0].views[0].base.words, again[1].views[0].base.words) and np.array_equal(again[0].views[0].base.words, model.views[0].base.words)
+    long = docs(spark, ["word " * 200_000, None, ""])
+    assert cotrain.score(long, "text", ["lang", "source", "n_chars"], model).count() == 4
+
+
+def test_sure_documents_teach():
+    """Every unlabelled document counts: what one view is sure of gives the other view's features their log-odds."""
+    rng = np.random.default_rng(4)
+    model = cotrain.Model(fitted=True)
+    model.views[1].base.words[7] = -50.0
+    model.views[1].scale = np.array([1.0, 4.0, 0.0, 0.0])
+    words = [np.array([1, 2] if i % 2 else [1, 3], np.int32) for i in range(400)]
+    meta = [np.array([5] if i % 2 else [7], np.int32) for i in range(400)]
+    counts = [np.zeros((3, w + 1), np.int64) for w in (cotrain.BUCKETS, cotrain.META_BUCKETS)]
+    cotrain.sure_counts(model, words, meta, rng.random((400, cotrain.STYLE)), counts)
+    assert counts[0][:, -1].tolist() == [400, 200, 200] and counts[0][:, [1, 2, 3]].tolist() == [[400, 200, 200], [200, 200, 0], [200, 0, 200]]
+    taught = cotrain.log_odds(counts[0])
+    assert taught[0, 2] > 0.5 > -0.5 > taught[0, 3] and taught[1, 3] > 0.5 > -0.5 > taught[1, 2] and abs(taught[:, 1]).max() < 0.1
+    assert cotrain.taught_features([words[0], words[1]], taught)[0, 1] > 0.2
+
+
+def test_co_training_helps_with_few_labels():
+    """With labels for few words, what the metadata view is sure of teaches the text view the others."""
+    rng = np.random.default_rng(5)
+    def row(bad):
+        topic = rng.choice(np.arange(100, 400) if bad else np.arange(500, 800), 6, replace=False)
+        return np.unique(np.concatenate([topic, rng.choice(100, 10)])).astype(np.int32), np.array([7 if bad else 8], np.int32), np.zeros(cotrain.STYLE), float(not bad)
+    labelled, pool = [row(i % 2) for i in range(60)], [row(i % 2) for i in range(3000)]
+    column = lambda rows, i: [r[i] for r in rows]
+    none = [np.zeros((2, w), np.float32) for w in (cotrain.BUCKETS, cotrain.META_BUCKETS)]
+    before = cotrain.fit_views(labelled, none, None)
+    counts = [np.zeros((3, w + 1), np.int64) for w in (cotrain.BUCKETS, cotrain.META_BUCKETS)]
+    cotrain.sure_counts(before, column(pool, 0), column(pool, 1), np.array(column(pool, 2)), counts, sure=0.8)
+    after = cotrain.fit_views(labelled, [cotrain.log_odds(c) for c in counts], before)
+    fresh = [row(i % 2) for i in range(600)]
+    right = [np.mean((m.logits(column(fresh, 0), column(fresh, 1), np.array(column(fresh, 2)))[0] > 0) == np.array(column(fresh, 3))) for m in (before, after)]
+    assert right[1] > right[0] + 0.03 and right[1] > 0.95
 
 
 # ---- 5 ------------------------------------------------------------------------------------

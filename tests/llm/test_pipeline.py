@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import corpus_pipeline as pipeline
 
-from parsimony.llm import queries, simhash
+from parsimony.llm import queries
 from parsimony.llm.common import table, words_of
 
 
@@ -36,9 +36,8 @@ def shingle_set(text, n=5):
 
 
 def brute_groups(docs):
-    """Smallest id of each document's group: equal texts, and texts with near fingerprints and a Jaccard similarity of 0.8 or more."""
+    """Smallest id of each document's group: texts whose sets of five-word shingles have a cosine similarity of 0.8 or more."""
     ids = sorted(docs)
-    fps = {i: simhash.fingerprint_of(docs[i].text, 2) for i in ids}
     sets = {i: shingle_set(docs[i].text) for i in ids}
     low = {i: i for i in ids}
 
@@ -49,7 +48,7 @@ def brute_groups(docs):
 
     for a in ids:
         for b in ids:
-            if a < b and (docs[a].text == docs[b].text or (fps[a] ^ fps[b]).bit_count() <= 8 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and sets[a] | sets[b]):
+            if a < b and len(sets[a] & sets[b]) ** 2 * 100 >= 64 * len(sets[a]) * len(sets[b]):
                 x, y = sorted((root(a), root(b)))
                 low[y] = x
     return {i: root(i) for i in ids}
