@@ -309,6 +309,34 @@ def test_sharding(spark, size):
     assert max(counts) - min(counts) <= 1 and sum(counts) == size
 
 
+def test_hypergeometric():
+    """Shares of draws against exact probabilities, and margins beyond 10^9 rows."""
+    rng = np.random.default_rng(3)
+    for good, bad, drawn in ((5, 9, 6), (30, 4, 10), (1, 1, 1), (0, 5, 3), (7, 0, 2)):
+        got = Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(20_000))
+        for k in range(max(0, drawn - bad), min(good, drawn) + 1):
+            p = math.comb(good, k) * math.comb(bad, drawn - k) / math.comb(good + bad, drawn)
+            assert abs(got[k] / 20_000 - p) < 0.02
+    sizes, counts = [30_000_000] * 40, [400_000_000, 0, 799_999_999, 1]
+    m = sharding.matrix(counts, sizes, 1)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes
+    assert abs(m[0] - 10_000_000).max() < 6 * (400_000_000 / 40 * 2 / 3) ** 0.5
+    many = [sharding.hypergeometric(rng, 10**12, 39 * 10**12, 100_000) for _ in range(2000)]
+    assert abs(np.mean(many) - 2500) < 6 and 45 < np.std(many) < 53
+
+
+def test_sharding_groups_and_clashes(spark):
+    """Blocks drawn group by group, columns with the names of helpers, repeated rows and nulls."""
+    df = spark.range(900).select(F.col("id").alias("doc_id"), *[F.lit(None).cast("string").alias(n) for n in ("start", "shard", "slot", "part", "block", "cuts", "rank", "n")])
+    df = df.union(df.where("doc_id < 40")).union(df.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = sharding.shard(df, ["doc_id"], 7, rows_per_block=20, groups=5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(rows) == 941 and {len(x) for x in by.values()} == {134, 135} and all(sorted(x) == list(range(len(x))) for x in by.values())
+    assert set(rows[0].asDict()) == {"doc_id", "start", "shard", "slot", "part", "block", "cuts", "rank", "n"}
+
+
 def test_sharding_spreads(spark):
     """Every tenth of the input falls into all shards about evenly, and a second run gives the same."""
     rows = sharding.shard(spark.range(8000).withColumnRenamed("id", "doc_id"), ["doc_id"], 8, rows_per_block=500).collect()
@@ -369,19 +397,20 @@ def test_sure_documents_teach():
 def test_co_training_helps_with_few_labels():
     """With labels for few words, what the metadata view is sure of teaches the text view the others."""
     rng = np.random.default_rng(5)
+
     def row(bad):
         topic = rng.choice(np.arange(100, 400) if bad else np.arange(500, 800), 6, replace=False)
         return np.unique(np.concatenate([topic, rng.choice(100, 10)])).astype(np.int32), np.array([7 if bad else 8], np.int32), np.zeros(cotrain.STYLE), float(not bad)
-    labelled, pool = [row(i % 2) for i in range(60)], [row(i % 2) for i in range(3000)]
+    labelled, pool = [row(rng.random() < 0.5) for _ in range(200)], [row(i % 2) for i in range(3000)]
     column = lambda rows, i: [r[i] for r in rows]
     none = [np.zeros((2, w), np.float32) for w in (cotrain.BUCKETS, cotrain.META_BUCKETS)]
     before = cotrain.fit_views(labelled, none, None)
     counts = [np.zeros((3, w + 1), np.int64) for w in (cotrain.BUCKETS, cotrain.META_BUCKETS)]
-    cotrain.sure_counts(before, column(pool, 0), column(pool, 1), np.array(column(pool, 2)), counts, sure=0.8)
+    cotrain.sure_counts(before, column(pool, 0), column(pool, 1), np.array(column(pool, 2)), counts, sure=0.9)
     after = cotrain.fit_views(labelled, [cotrain.log_odds(c) for c in counts], before)
     fresh = [row(i % 2) for i in range(600)]
     right = [np.mean((m.logits(column(fresh, 0), column(fresh, 1), np.array(column(fresh, 2)))[0] > 0) == np.array(column(fresh, 3))) for m in (before, after)]
-    assert right[1] > right[0] + 0.03 and right[1] > 0.95
+    assert right[0] < 0.8 and right[1] > 0.95
 
 
 # ---- 5 ------------------------------------------------------------------------------------
