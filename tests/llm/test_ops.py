@@ -461,6 +461,12 @@ def test_linededup(spark):
     assert got[3].text == "own 3 text of some length\nx\n" and (got[3].n_lines, got[3].n_removed) == (5, 2)
     assert got[1].text.count(rare) == 1 and got[6].text is None and got[6].n_lines == 0 and got[7].text == "" and got[8].text == "short\nshort" and len(got[9].text) == 50_000
     assert linededup.dedup(empty(spark), "doc_id", "text", "source").count() == 0
+    # repeated rows, ids that repeat with other texts, and columns with the names of helpers
+    twice = docs(spark, rows).withColumns({n: F.lit("clash") for n in ("gone", "_gone", "row", "doc", "row_", "n_lines", "h1")})
+    again = linededup.dedup(twice.union(twice), "doc_id", "text", "source").collect()
+    assert len(again) == 2 * len(got) and {(r.doc_id, r.text, r.n_removed, r.gone, r.row, r.doc, r.h1) for r in again} == {(r.doc_id, r.text, r.n_removed, *["clash"] * 4) for r in got.values()}
+    other = spark.createDataFrame([(1, line, f"s{i}") for i in range(4)] + [(1, f"{line}\nx", "s9")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in linededup.dedup(other, "doc_id", "text", "source").collect()) in ([*[line] * 4, "x"], [*[""] * 4, f"{line}\nx"])
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
