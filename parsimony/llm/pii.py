@@ -4,8 +4,10 @@ The patterns find what their form alone proves. The field then labels every toke
 holds a digit or an at sign: neighbouring tokens are linked, and so are distant tokens that
 repeat or resemble each other (same last digits, same mailbox, same string), so that what is
 certain in one place speaks for its likes elsewhere. Loopy message passing gives each token's
-label; confident tokens outside the patterns' spans are added. Weights are trained here on
-tokens that the patterns label.
+label; confident tokens outside the patterns' spans are added, neighbouring pieces of a phone number as one span. Weights are
+trained here on tokens that the patterns label, and on mentions put into the sampled texts that no pattern
+can prove: shorter forms of a phone or address that the text holds, and forms just like them of nothing in
+the text. Their shape tells nothing; what is like them elsewhere in the text does.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none; label i is KINDS[i - 1].
 LABELS = len(KINDS) + 1
-#: Documents that the weights are fitted on at most, and the marginal from which a token is added.
+#: Different texts that the weights are fitted on, about, and the marginal from which a token is added.
 SAMPLE, CONFIDENT = 3000, 0.9
 ROUNDS = 12
 
@@ -194,22 +196,78 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def fit(examples: list[tuple[list[list[int]], list[int], list, list]], steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Piecewise training: the token weights by softmax regression, each kind of link by its smoothed log-odds of joint labels."""
-    near, far = np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
-    rows, labels = [], []
+def short_forms(kind: int, found: str) -> list[str]:
+    """Forms of a phone number or an address that no pattern proves."""
+    if KINDS[kind] == "email":
+        box, _, host = found.partition("@")
+        return [f"{box}@{host.split('.')[0]}"]
+    digits = DIGITS.sub("", found)
+    if KINDS[kind] != "phone" or len(digits) < 10:
+        return []
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [a + b + c, f"{a}-{b}-{c}", f"{b}-{c}"]
+
+
+def unlike(form: str, seed: int) -> str:
+    """The same form with other digits and letters, drawn from a seed."""
+    out = []
+    for c in form:
+        seed = (seed * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(chr(48 + (seed >> 33) % 10) if c.isdigit() else chr(97 + (seed >> 33) % 26) if c.isalpha() else c)
+    return "".join(out)
+
+
+def example(text: str, seed: int) -> tuple[list[list[int]], list[int], list, list]:
+    """Features, labels and links of a text with mentions put at its end: of each kind's first span a short form, and a form like it of nothing.
+
+    What the text itself repeats in a form that no pattern proves has no label to learn from: -1.
+    """
+    base, own = base_spans(text), len(text)
+    firsts: dict[int, str] = {}
+    for k, s, e in base:
+        firsts.setdefault(k, text[s:e])
+    given: list[tuple[int, int, int]] = []
+    for k, found in firsts.items():
+        forms = short_forms(k, found)
+        if forms:
+            form = forms[seed % len(forms)]
+            for mention, label in ((form, k), (unlike(form, seed), None)):
+                start = len(text) + 3
+                text += " , " + mention
+                if label is not None:
+                    given.append((label, start, len(text)))
+    spans = tokens_of(text)
+    near, far = links_of(text, spans)
+    known = labels_of(spans, [*base, *given])
+    keys = [likeness(text[s:e]) for s, e in spans]
+    proven = {key for key, k, (s, _) in zip(keys, known, spans, strict=True) if k and s < own}
+    known = [-1 if k == 0 and s < own and key in proven else k for key, k, (s, _) in zip(keys, known, spans, strict=True)]
+    return [features(text[s:e]) for s, e in spans], known, near, far
+
+
+def counted(examples: list[tuple[list[list[int]], list[int], list, list]]) -> tuple[dict[tuple, int], np.ndarray]:
+    """How often each (features, label) occurs, and how often each two labels are linked, by kind of link."""
+    rows: dict[tuple, int] = {}
+    tables = np.zeros((2, LABELS, LABELS), np.int64)
     for feats, known, close, distant in examples:
-        rows += feats
-        labels += known
-        for table, pairs in ((near, close), (far, distant)):
+        for f, k in zip(feats, known, strict=True):
+            if k >= 0:
+                rows[(*f, k)] = rows.get((*f, k), 0) + 1
+        for table, pairs in zip(tables, (close, distant), strict=True):
             for i, j in pairs:
-                table[known[i], known[j]] += 1
-                table[known[j], known[i]] += 1
+                if known[i] >= 0 and known[j] >= 0:
+                    table[known[i], known[j]] += 1
+                    table[known[j], known[i]] += 1
+    return rows, tables
+
+
+def fit(rows: dict[tuple, int], tables: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Field:
+    """Piecewise training: the token weights by softmax regression, each kind of link by how much more often than for tokens at large its ends have these labels."""
     unary = np.zeros((FEATURES, LABELS))
     unary[FEATURES - 1, 0] = 1.0
     if rows:
-        # equal rows are one row with a weight
-        kept, place, counts = np.unique(np.column_stack([np.array(rows), labels]), axis=0, return_inverse=True, return_counts=True)
+        kept = np.array(sorted(rows))
+        counts = np.array([rows[tuple(k)] for k in kept.tolist()])
         x = np.zeros((len(kept), FEATURES))
         np.put_along_axis(x, kept[:, :-1], 1.0, axis=1)
         y, w = np.eye(LABELS)[kept[:, -1]], (counts / counts.sum())[:, None]
@@ -218,54 +276,59 @@ def fit(examples: list[tuple[list[list[int]], list[int], list, list]], steps: in
             step = x.T @ (w * (_softmax(x @ unary) - y)) + decay * unary
             speed = 0.9 * speed - rate * step
             unary = unary + speed
-    tables = []
-    for table in (near, far):
+    share = np.ones(LABELS)
+    for key, n in rows.items():
+        share[key[-1]] += n
+    share, made = share / share.sum(), []
+    for table in tables + 1.0:
         joint = table / table.sum()
-        share = joint.sum(axis=1)
-        tables.append(np.clip(np.log(joint / np.outer(share, share)), -3, 3))
-    return Field(unary, *tables)
+        made.append(np.clip(np.log(joint / np.outer(share, share)), -3, 3))
+    return Field(unary, *made)
 
 
 def train(df: DataFrame, text: str, sample: int = SAMPLE) -> Field:
-    """Weights from at most ``sample`` documents that hold a digit or an at sign, drawn by a hash of the text."""
+    """Weights from about ``sample`` different texts that hold a digit or an at sign, drawn by a hash of the text.
+
+    Tasks return counts of (features, label) and of linked labels; the driver gets their sums, which the
+    number of features bounds.
+    """
     held = df.select(F.col(text).alias("text")).where(F.col(text).rlike("[0-9@]"))
-    total = held.count()
-    drawn = held.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(max(1, total // (2 * sample)))) == 0)
+    every = max(1, -(-held.count() // sample))
+    drawn = held.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(every)) == 0).dropDuplicates(["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for x in batch.column(0):
-                text = x.as_py()
-                spans = tokens_of(text)
-                near, far = links_of(text, spans)
-                out[0].append([features(text[s:e]) for s, e in spans])
-                out[1].append(labels_of(spans, base_spans(text)))
-                out[2].append([list(p) for p in near])
-                out[3].append([list(p) for p in far])
-            pairs = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(o, t) for o, t in zip(out, (pairs, pa.list_(pa.int32()), pairs, pairs), strict=True)]], names=["h", "feats", "labels", "near", "far"])
-
-    schema = "h long, feats array<array<int>>, labels array<int>, near array<array<int>>, far array<array<int>>"
-    rows = drawn.mapInArrow(run, schema).orderBy("h").limit(sample).collect()
-    return fit([(r["feats"], r["labels"], r["near"], r["far"]) for r in rows])
+            seeds = batch.column(1).to_pylist()
+            rows, tables = counted([example(x.as_py(), h % (1 << 32)) for x, h in zip(batch.column(0), seeds, strict=True)])
+            keys = [*map(list, rows), *([-1 - i, a, b] for i in range(2) for a in range(LABELS) for b in range(LABELS))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int32())), pa.array([*rows.values(), *tables.ravel().tolist()], pa.int64())], names=["key", "n"])
+
+    rows, tables = {}, np.zeros((2, LABELS, LABELS), np.int64)
+    for r in drawn.mapInArrow(run, "key array<int>, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+        if r["key"][0] < 0:
+            tables[-1 - r["key"][0], r["key"][1], r["key"][2]] = r["n"]
+        else:
+            rows[tuple(r["key"])] = r["n"]
+    return fit(rows, tables)
 
 
 def added(text: str, base: list[tuple[int, int, int]], field: Field, confident: float = CONFIDENT) -> list[tuple[int, int, int]]:
-    """Spans that the field adds: confident tokens that meet no span of the patterns, without the punctuation around them."""
+    """Spans that the field adds: confident tokens that meet no span of the patterns, without the punctuation around them; neighbouring pieces of a phone number are one span."""
     spans = tokens_of(text)
     known = labels_of(spans, base)
     if all(known):
         return []
     near, far = links_of(text, spans)
     marginals = field.marginals([features(text[s:e]) for s, e in spans], known, near, far)
-    out = []
+    out: list[tuple[int, int, int]] = []
     for (s, e), k, p in zip(spans, known, marginals, strict=True):
         label = int(p.argmax())
         if k == 0 and label and p[label] >= confident:
             token = text[s:e]
-            s += len(token) - len(token.lstrip(EDGE))
+            s += len(token) - len(token.lstrip(EDGE if token[0] != "(" or ")" not in token else EDGE.replace("(", "")))
             e -= len(token) - len(token.rstrip(EDGE))
+            if out and out[-1][0] == label - 1 == KINDS.index("phone") and s - out[-1][2] <= 2 and not text[out[-1][2] : s].strip(" )"):
+                s = out.pop()[1]  # the next word of the same number
             if s < e:
                 out.append((label - 1, s, e))
     return out

@@ -584,6 +584,42 @@ def test_detect(spark):
     assert pii.train(empty(spark), "text").unary.shape == (pii.FEATURES, pii.LABELS)
 
 
+def mentions(n, seed):
+    """Texts with a number or address and a shorter mention of it, and as many with a mention of nothing; (text, span to be added or None)."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        word = lambda k: " ".join(rng.choice(["the", "call", "was", "or", "note", "and"]) for _ in range(k))
+        a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        box = f"{rng.choice('abcdef')}{rng.choice('xyz')}.{rng.randrange(999)}"
+        whole, form = (f"+1 ({a}) {b}-{c}", rng.choice([f"{a}{b}{c}", f"{a}-{b}-{c}", f"{b}-{c}"])) if i % 2 else (f"{box}@mail{rng.randrange(9)}.example.com", f"{box}@mail")
+        if i % 4 >= 2:
+            form = pii.unlike(form, rng.getrandbits(60))
+        text = f"{word(9)} {whole} {word(rng.randint(5, 200))} "
+        out.append((text + form + " " + word(4), None if i % 4 >= 2 else (3 if i % 2 else 0, len(text), len(text) + len(form))))
+    return out
+
+
+def test_skip_links_decide():
+    """A mention that no pattern proves is added because of what it repeats: with the skip links, and not without them."""
+    field = pii.fit(*pii.counted([pii.example(t, i * 7919) for i, (t, _) in enumerate(mentions(600, 1))]))
+    blind = pii.Field(field.unary, field.near, np.zeros_like(field.far))
+    held = mentions(400, 2)
+    found = {}
+    for name, f in (("all", field), ("blind", blind)):
+        got = [pii.added(t, pii.base_spans(t), f) for t, _ in held]
+        hits = sum(want in g for g, (_, want) in zip(got, held, strict=True) if want)
+        found[name] = hits / 200, sum(map(len, got)) - hits
+    assert found["all"][0] > 0.9 and found["all"][1] <= 4
+    assert found["blind"][0] < 0.1
+
+
+def test_neighbours_are_one_span():
+    text = "x +1 (826) 555-4081 190.137.223.204 y"
+    field = pii.fit(*pii.counted([pii.example(t, i) for i, (t, _) in enumerate(mentions(600, 1))] + [pii.example(f"at 10.2.{i}.4 and +1 ({200 + i}) 555-1{i}", 3 + i) for i in range(100, 200)]))
+    spans = pii.added(text, pii.base_spans(text), field)
+    assert spans in ([], [(3, 2, 19)])
+
+
 def test_messages_exact_on_trees():
     """On a chain loopy messages give the exact marginals."""
     rng = np.random.default_rng(0)
