@@ -16,17 +16,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 512, 2048, 16
-#: Candidate blocks that one task searches in a row for one block of queries.
-RUN = 8
+QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 512, 2048, 8
+#: Candidate blocks that one task searches in a row for one block of queries, and the share of pairs still alive from which they are compacted.
+RUN, COMPACT = 8, 0.25
 
 
 def integers(df: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component; vectors that are null or hold null or non-finite components, and null ids, take no part."""
+    """(vec_id, v): floor(scale * x) of each component; vectors that are null or hold null or non-finite components, and null ids, take no part; components beyond 64 bits stand at their limits."""
     x = F.transform(vector, lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     held = df.select(F.col(vec_id).alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(F.coalesce(fine, F.lit(False)))
-    return held.select("vec_id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("v")).distinct()
+    return held.select("vec_id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c)).alias("v"))
 
 
 def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
@@ -38,15 +38,24 @@ def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
         data = np.zeros((len(pdf), width), np.int64)
         for i, v in enumerate(pdf["v"]):
             data[i, : len(v)] = v
-        return pd.DataFrame({name: [pdf["b"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "width": [width], "data": [np.ascontiguousarray(data.T).tobytes()]})
+        kind = next(k for k in ("i1", "i2", "i4", "i8") if np.iinfo(k).min <= data.min(initial=0) and data.max(initial=0) <= np.iinfo(k).max)
+        return pd.DataFrame({name: [pdf["b"].iloc[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "kind": [kind], "data": [np.ascontiguousarray(data.T.astype(kind)).tobytes()]})
 
-    return rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(run, f"{name} int, ids binary, width int, data binary")
+    # rows of one id, however many, are dealt out as well
+    return rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).groupBy("b").applyInPandas(run, f"{name} int, ids binary, kind string, data binary")
+
+
+def unpacked(ids: bytes, kind: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block, and its components as dimensions x rows."""
+    names = np.frombuffer(ids, np.int64)
+    return names, np.frombuffer(data, kind).astype(np.int64).reshape(-1, len(names))
 
 
 def kind_for(q: np.ndarray, c: np.ndarray):
-    """The fastest number type that holds every partial score exactly."""
-    largest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(len(q), 1)
-    return np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else np.int64
+    """The fastest number type that holds every partial score exactly; Python's own numbers beyond 64 bits."""
+    size = lambda x: max(abs(int(x.min(initial=0))), abs(int(x.max(initial=0))))
+    largest = size(q) * size(c) * max(len(q), 1)
+    return np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else object
 
 
 class Best:
@@ -69,15 +78,25 @@ class Best:
         for q in np.unique(query).tolist():
             part = slice(edges[q], edges[q + 1])
             s, f = np.concatenate([self.lists[q][0], score[part]]), np.concatenate([self.lists[q][1], found[part]])
-            top = np.lexsort((f, -s))[: self.k]
+            top = np.lexsort((f, ~s))[: self.k]  # ~ has no overflow
             self.lists[q] = (s[top], f[top])
 
 
-def search(best: Best, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, step: int = STEP) -> None:
-    """Search one block of candidates (dimensions x candidates) for one block of queries (dimensions x queries)."""
+def search(best: Best, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, step: int = STEP) -> int:
+    """Search one block of candidates (dimensions x candidates) for one block of queries (dimensions x queries).
+
+    Returns the number of pairs that were left when they were compacted, or all. Numbers too large for exact bounds
+    are multiplied out; scores beyond 64 bits stand at their limits.
+    """
     width = max(len(q), len(c))
     q, c = (np.pad(x, ((0, width - len(x)), (0, 0))) for x in (q, c))
     kind = kind_for(q, c)
+    if kind is object:
+        whole = np.clip(q.T.astype(object) @ c.astype(object), -(2**63), 2**63 - 1).astype(np.int64) if width else np.zeros((q.shape[1], c.shape[1]), np.int64)
+        qi, ci = np.nonzero(best.ids[:, None] != c_ids[None, :])
+        best.add(qi, whole[qi, ci], c_ids[ci])
+        return whole.size
+    left = q.shape[1] * c.shape[1]
     order = np.argsort(-(c.astype(np.float64) ** 2).sum(axis=1), kind="stable")  # the largest mass first
     q, c = q[order].astype(kind), c[order].astype(kind)
     rest_q = np.sqrt(np.cumsum((q.astype(np.float64) ** 2)[::-1], axis=0)[::-1])
@@ -105,8 +124,9 @@ def search(best: Best, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, step: in
             low = np.partition(least, c.shape[1] - k, axis=1)[:, c.shape[1] - k] if c.shape[1] >= k else np.full(len(floor), -np.inf)
             floor = np.maximum(floor, low)
             alive = (score + bound >= floor[:, None]) & ~own
-            if alive.mean() < 0.15:
+            if alive.mean() < COMPACT:
                 qi, ci = np.nonzero(alive)
+                left = len(qi)
                 pairs = (qi, ci, score[qi, ci])
         else:
             qi, ci, s = pairs
@@ -118,20 +138,21 @@ def search(best: Best, q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, step: in
     qi, ci, s = pairs
     stay = s >= floor[qi]
     best.add(qi[stay], s[stay].astype(np.int64), c_ids[ci[stay]])
+    return left
 
 
 def top_k(df: DataFrame, vec_id: str, vector: str, every: int = 20, k: int = 20, scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows of each row whose id is divisible by ``every``.
 
-    Ties go to the smaller id; fewer than k candidates give fewer rows. Equal rows count once;
-    different vectors under one id are candidates each, but not for a query of that id. Vectors of
+    Ties go to the smaller id; fewer than k candidates give fewer rows. Repeated rows are candidates each, and one
+    query; rows under one id are no candidates for a query of that id, and if their vectors differ its result is the best of all of them. Vectors of
     unequal length are compared as if padded by zeros. The number of blocks follows the table.
     """
     rows = integers(df, vec_id, vector, scale)
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = rows.where(F.col("vec_id") % every == 0).distinct()
     n, nq = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    left = packed(queries, query_blocks, "qb").select("qb", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    left = packed(queries, query_blocks, "qb").select("qb", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("data").alias("q_data"))
     right = packed(rows, blocks, "cb").select("*", (F.col("cb") / RUN).cast("int").alias("run"))
     runs = -(-blocks // RUN)
     # every block of queries meets every block of candidates: the stated query set against all rows, block by block
@@ -141,12 +162,11 @@ def top_k(df: DataFrame, vec_id: str, vector: str, every: int = 20, k: int = 20,
     def run(_, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         for _, row in q.iterrows():
-            ids = np.frombuffer(row["q_ids"], np.int64)
+            ids, data = unpacked(row["q_ids"], row["q_kind"], row["q_data"])
             best = Best(ids, k)
-            data = np.frombuffer(row["q_data"], np.int64).reshape(row["q_width"], len(ids))
             for _, block in c.sort_values("cb").iterrows():
-                c_ids = np.frombuffer(block["ids"], np.int64)
-                search(best, data, np.frombuffer(block["data"], np.int64).reshape(block["width"], len(c_ids)), c_ids)
+                c_ids, values = unpacked(block["ids"], block["kind"], block["data"])
+                search(best, data, values, c_ids)
             for i, (score, found) in zip(ids.tolist(), best.lists, strict=True):
                 out["query_id"] += [i] * len(score)
                 out["vec_id"] += found.tolist()

@@ -533,19 +533,40 @@ def test_topk(spark, scale, monkeypatch):
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(150, 24)).astype(np.float32) / 4
     vectors[10:14] = vectors[3]
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 24), (None, [0.5] * 24), (5, vectors[5].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, [1.0, None]), (202, [float("nan")] * 24), (None, [0.5] * 24), (5, vectors[5].tolist()), (20, vectors[20].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, "vec_id", "embedding", k=7, scale=scale).collect())
     ints = [[math.floor(scale * float(x)) for x in v] for v in vectors]
     want = []
     for q in range(0, 150, 20):
-        scores = sorted((-sum(a * b for a, b in zip(ints[q], c, strict=True)), i) for i, c in enumerate(ints) if i != q)
+        score = lambda c: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], c, strict=True))))
+        scores = sorted((-score(c), i) for i, c in [*enumerate(ints), (5, ints[5]), (20, ints[20])] if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:7])]
-    if scale == 64:
-        assert got == want
+    assert got == want
     assert len(got) == len(want) and topk.top_k(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_topk_beyond_64_bits(spark):
+    rows = [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 0.0]), (3, [1.0, 1.0])]
+    got = [(r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding").orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
+def test_topk_prunes():
+    """Pairs that cannot reach the best any more are dropped before the last dimension, and the result is exact."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 64))
+    data = np.floor(24 * (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 64)) / 4)).astype(np.int64)
+    ids = np.arange(4000)
+    best = topk.Best(ids[:50], 20)
+    left = [topk.search(best, data[:50].T, data[k : k + 1000].T, ids[k : k + 1000]) for k in range(0, 4000, 1000)]
+    assert max(left[1:]) < 0.25 * 50 * 1000
+    whole = data[:50] @ data.T
+    for q in range(50):
+        want = sorted((-whole[q, i], i) for i in range(4000) if i != q)[:20]
+        assert [(-s, i) for s, i in zip(*map(list, best.lists[q]), strict=True)] == want
+
+
 # ---- 10 -------------------------------------------------------------------------------------
 
 SAMPLES = [
