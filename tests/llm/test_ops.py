@@ -442,12 +442,69 @@ def test_template_on_pages(spark, sf_dir):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+def naive_classes(pages, support=template.SUPPORT, least=template.LEAST_PAGES):
+    """Valid classes by whole occurrence vectors: the sets of their tokens, those that stand once a page and those that repeat."""
+    counts = [Counter(t for *_, t in template.placed(p) if t) for p in pages]
+    tags = {t for p in pages for kind, _, _, t in template.placed(p) if kind != "text"}
+    by = {}
+    for t in set().union(*counts):
+        vector = tuple(c[t] for c in counts)
+        if sum(map(bool, vector)) >= max(least, support * len(pages)):
+            by.setdefault(vector, set()).add(t)
+    valid = [(v, c) for v, c in by.items() if len(c) > 1 and c & tags]
+    return {frozenset(c) for v, c in valid if max(v) == 1}, {frozenset(c) for v, c in valid if max(v) > 1}
+
+
+NESTED = (
+    "<html><body><div class='top'>Site {i}</div><div class=x><div class=body><h1>Title {i}</h1><div class='post-header'><h2>Part {i}</h2></div><p>Own text {i} that is long enough to be most of what the page says.</p>"
+    "<div class=box>All rights kept</div>{list}</div></div><div class=more>Read also {i}</div></body></html>"
+)
+
+
+def nested(i):
+    return NESTED.format(i=i, list="".join(f"<div class=entry><h3>Entry</h3><p><u>No.</u> item {i} {k}</p></div>" for k in range(1 + i % 3)))
+
+
 def test_equivalence_classes(spark):
-    rows = [("h", i, PAGE.format(i=i, t=i)) for i in range(4)]
-    made = template.templates(spark.createDataFrame(rows, "host string, page_id int, html string"), "page_id", "html").first()
-    tokens = [t for kind, _, _, t in template.placed(PAGE.format(i=0, t=0)) if kind != "text"]
-    once = [t for t in tokens if tokens.count(t) == 1]
-    assert {template.number(t) for t in once} <= set(made.skeleton) and len(made.constant) >= len(made.skeleton)
+    for made in ([PAGE.format(i=i, t=i) for i in range(4)], [nested(i) for i in range(9)]):
+        rows = [("h", i, p) for i, p in enumerate(made)]
+        r = template.templates(spark.createDataFrame(rows, "host string, page_id int, html string"), "page_id", "html").first()
+        by = {}
+        for t, c in zip(r.tokens, r.classes, strict=True):
+            by.setdefault(c, set()).add(t)
+        once, repeated = naive_classes(made)
+        assert {frozenset(v) for c, v in by.items() if c > 0} == once and {frozenset(v) for c, v in by.items() if c < 0} == repeated
+        order = [t for *_, t in template.placed(made[0])]
+        for c in by:
+            if c > 0:
+                own = [t for t, k in zip(r.tokens, r.classes, strict=True) if k == c]
+                assert own == [t for t in order if t in by[c]]
+
+
+def test_template_decides(spark):
+    """Pages without an article element: the skeleton's slots hold the text; constant text and a nested class's labels are the template's."""
+    pages = spark.createDataFrame([(i, "https://h.example.com/", nested(i)) for i in range(9)], "page_id long, url string, html string")
+    for tokens in (10**6, 0):
+        got = {r.page_id: r.text for r in template.extract_all(pages, "page_id", "url", "html", tokens=tokens).collect()}
+        for i in range(9):
+            assert got[i] == "\n".join([f"Title {i}", f"Part {i}", f"Own text {i} that is long enough to be most of what the page says.", *[f"No. item {i} {k}" for k in range(1 + i % 3)]])
+    assert "Read also 3" in template.extract(nested(3)) and "Entry" in template.extract(nested(3))
+    # a page that breaks the order of the skeleton is read without it
+    page = nested(1).replace("<div class=x>", "").replace("<div class='top'>Site 1</div>", "") + "<div class=x>"
+    assert "Read also 1" in template.extract(page, template.Template([template.placed(nested(1))[k][3] for k in (0, 1, 2)], [1, 1, 1]))
+
+
+def test_headings_and_long_pages():
+    assert template.extract("<article><div class='post-header'><h1>Title</h1></div><p>Body</p><div class=related>See</div></article>") == "Title\nBody\nSee"
+    import time
+
+    for page in ("<div><p>a</section>", "<div>", "<article><nav>", "</div>a", "<b>x"):
+        took = []
+        for n in (4_000, 16_000):
+            start = time.process_time()
+            template.extract(page * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.5, page
 
 
 # ---- 6, 8 -----------------------------------------------------------------------------------
