@@ -3,8 +3,7 @@
 A byte is eight binary decisions. Each decision node has a context tree of its own over the
 preceding bytes, the nearest at the root. Every tree node estimates its bit by
 Krichevsky and Trofimov's rule, and the trees mix the estimates of all depths from 0 to 5 with the weights
-that their probability of the training bits gives them; where a context was never seen, the deepest
-seen one's mixture stands. The probabilities of a byte's eight bits
+that their probability of the training bits gives them; a context that was never seen gives either bit one half. The probabilities of a byte's eight bits
 multiply to the byte's; the logarithms of a text's bytes add up to its code length.
 
 A text is its words in lower case (A-Z) with one space between them and a final end byte.
@@ -115,13 +114,13 @@ def subtree(keys: np.ndarray, counts: np.ndarray, j: int) -> tuple[np.ndarray, t
     node = keys >> np.uint64(8 - j)
     node, at, (n, ones) = _gather(node, counts, counts * bit)
     below = log_kt((n - ones).astype(np.int64), ones.astype(np.int64))
-    p = np.where(n[at] > 0, _estimate(n, ones, at, bit), np.nan)
+    p = _estimate(n, ones, at, bit)
     for _ in range(DEPTH - 3):
         node, place, (n, ones, s) = _gather(_parents(node, j), n, ones, below)
         at = place[at]
         below, own = stop_weight(log_kt((n - ones).astype(np.int64), ones.astype(np.int64)), s)
-        own = np.where(np.isnan(p), 1.0, own[at])  # below an unseen context there is nothing to mix
-        p = np.where(n[at] > 0, own * _estimate(n, ones, at, bit) + (1 - own) * np.nan_to_num(p), np.nan)
+        own = own[at]
+        p = own * _estimate(n, ones, at, bit) + (1 - own) * p
     node, place, sums = _gather(_parents(node, j), n, ones, below)
     return p, (node, *sums), node[place[at]]
 
@@ -143,27 +142,21 @@ class Top:
             sums = [x[own][order] for x in (n, ones, s)]
             place = np.arange(len(k))
             a, b0, b1 = np.ones(len(k)), np.zeros(len(k)), np.zeros(len(k))
-            u0, u1 = b0, b1  # the same for a key whose context of depth 3 is unseen
-            unseen = np.zeros(len(k), bool)
             here = k
             for depth in (2, 1, 0):
                 total, one, below = sums
                 below, stop = stop_weight(log_kt((total - one).astype(np.int64), one.astype(np.int64)), below)
-                w = np.where(unseen, 1.0, stop[place])
-                e1 = ((one + 0.5) / (total + 1))[place]
-                v = 1.0 if depth == 2 else w
-                u0, u1 = v * (1 - e1) + (1 - v) * u0, v * e1 + (1 - v) * u1
-                unseen = (total == 0)[place]
+                w, e1 = stop[place], ((one + 0.5) / (total + 1))[place]
                 a, b0, b1 = (1 - w) * a, w * (1 - e1) + (1 - w) * b0, w * e1 + (1 - w) * b1
                 if depth:
                     here, up, sums = _gather(_parents(here, j), total, one, below)
                     place = up[place]
-            self.lines.append((k, a, b0, b1, u0, u1))
+            self.lines.append((k, a, b0, b1))
 
     def apply(self, j: int, node: np.ndarray, bit: np.ndarray, p: np.ndarray) -> np.ndarray:
-        k, a, b0, b1, u0, u1 = self.lines[j]
+        k, a, b0, b1 = self.lines[j]
         i = np.searchsorted(k, node)
-        return np.where(np.isnan(p), np.where(bit == 1, u1[i], u0[i]), a[i] * np.nan_to_num(p) + np.where(bit == 1, b1[i], b0[i]))
+        return a[i] * p + np.where(bit == 1, b1[i], b0[i])
 
 
 def log_probabilities(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:

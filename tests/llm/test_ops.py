@@ -56,15 +56,17 @@ def naive_ctw(train, texts):
             below[c[1:], u] += weighted[c, u]
 
     def bit_of(ctx, u, bit):
-        p = None
-        for d in range(5, -1, -1):
+        # the weighted probability of the node's bits with one more, over that without: an unseen node has probability 1
+        def with_bit(d):
             k = (ctx[5 - d :], u)
-            if k in counts:
-                n = counts[k]
-                e = (n[bit] + 0.5) / (sum(n) + 1)
-                stop = math.exp(kt(*n) - math.log(2) - weighted[k]) if d < 5 and p is not None else 1.0
-                p = stop * e + (1 - stop) * (p or 0)
-        return 0.5 if p is None else p
+            n = counts.get(k, [0, 0])
+            own = kt(n[0] + (bit == 0), n[1] + (bit == 1))
+            if d == 5:
+                return own
+            child = weighted.get((ctx[4 - d :], u), 0.0)
+            return float(np.logaddexp(own, below.get(k, 0.0) - child + with_bit(d + 1))) - math.log(2)
+
+        return math.exp(with_bit(0) - weighted.get((b"", u), 0.0))
 
     out = []
     for t in texts:
@@ -106,6 +108,18 @@ def test_ctw_sums_to_one(spark):
     assert p[np.isin(every, [k for x in range(256) for k in ctw.keys_of(ctx + bytes([x]))])].sum() == pytest.approx(1.0)
 
 
+def test_ctw_rows(spark):
+    """Repeated rows and ids, a very long text and clashing columns."""
+    rows = ["ab ab ab ba " * 20_000, "ab ba", "ab ba", "x"]
+    df = docs(spark, rows).withColumn("held", F.lit(False)).withColumns({n: F.lit("clash") for n in ("score", "chunk", "kind", "n_bytes")})
+    got = ctw.score(df.union(df), "doc_id", "text", "held", chunk_bytes=100_000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.score, r.n_bytes))
+    assert len(got) == 10 and all(len(v) == 1 for v in by.values()) and by[1] == by[2]
+    assert by[0].pop()[1] == len(rows[0])
+
+
 def test_ctw_empty(spark):
     assert ctw.score(empty(spark).withColumn("held", F.lit(False)), "doc_id", "text", "held").count() == 0
 
