@@ -20,7 +20,10 @@ def is_true(value: str | None) -> bool:
 
 @dataclass(frozen=True)
 class ReduceConfig:
-    """Level, number of passes (0: to the fixpoint) and which stages run. ``all_roles`` also reduces system and assistant messages."""
+    """Level, number of passes (0: to the fixpoint) and which stages run. ``all_roles`` also reduces system and assistant messages.
+
+    ``longest_line`` ends a text with headings at a line of so many bytes, as a line reader with such a buffer does; by default no line is too long.
+    """
 
     level: str = "ultra"
     passes: int = 0
@@ -29,6 +32,7 @@ class ReduceConfig:
     gloss: bool = True
     arrows: bool = True
     all_roles: bool = False
+    longest_line: int | None = None
 
     def __post_init__(self):
         if self.level not in LEVELS:

@@ -1,4 +1,4 @@
-"""SQL names for the scalar operators: native ones as SQL functions, kernel ones as Arrow functions."""
+"""SQL names for the scalar operators, all as Arrow functions of the kernel; in DataFrames ``scalars`` has native forms of most."""
 
 from __future__ import annotations
 

@@ -222,6 +222,11 @@ def role_gate(role, all_roles: bool = False) -> Column:
     return F.lit(True) if all_roles else _col(role).isNotNull() & _col(role).isin("user", "tool")
 
 
+def roles_label(all_roles: bool) -> str:
+    """The roles whose messages are reduced, in words."""
+    return "all roles" if all_roles else "user + tool roles"
+
+
 def is_chat_path(path) -> Column:
     return _col(path).endswith("/chat/completions") | _col(path).endswith("/messages")
 

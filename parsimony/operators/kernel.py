@@ -22,8 +22,6 @@ from ..functions import patterns as pat
 MOST_PASSES, MOST_RESTORES = 100, 8
 #: Terms that a lexicon remembers.
 MEMO = 200_000
-#: A line reader gives up at a line of this many bytes; a structured text ends there.
-LONGEST_LINE = 65_536
 WHITE = re.compile(f"[{pat.WHITE}]+")
 WHITE_CHARS = "\t\n\x0b\f\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 PROTECTED = [pat.python(p) for p in pat.PROTECTED.values()]
@@ -218,11 +216,11 @@ def is_noise(line: str) -> bool:
     return line.startswith(("|---", "| --")) or size > 3 and len(ALNUM.findall(line)) < size // 3
 
 
-def lines_of(text: str) -> list[str]:
-    """Lines as a reader with a bounded buffer sees them: a line that does not fit ends the text."""
+def lines_of(text: str, longest: int | None = None) -> list[str]:
+    """Lines without blanks around them; with ``longest``, as a reader with a buffer of so many bytes sees them: a line that does not fit ends the text."""
     out = []
     for line in text.split("\n"):
-        if len(line.encode()) >= LONGEST_LINE:
+        if longest is not None and len(line.encode()) >= longest:
             break
         out.append(line.removesuffix("\r").strip(WHITE_CHARS))
     return out
@@ -231,11 +229,11 @@ def lines_of(text: str) -> list[str]:
 UNMARKED = str.maketrans("", "", "*_`")
 
 
-def structure(text: str, level: str, lexicon: Lexicon) -> str:
+def structure(text: str, level: str, lexicon: Lexicon, longest: int | None = None) -> str:
     """Headings with their paths and the terms of their bodies, indented; '' without headings. Text before the first heading and in code fences goes."""
     sections: list[tuple[int, str, list[str], list[str]]] = []
     in_code = False
-    for line in lines_of(text):
+    for line in lines_of(text, longest):
         if line.startswith("```"):
             in_code = not in_code
         elif in_code:
@@ -255,8 +253,8 @@ def structure(text: str, level: str, lexicon: Lexicon) -> str:
     return "".join(out)
 
 
-def to_graph(text: str, level: str, lexicon: Lexicon) -> str:
-    out = structure(text, level, lexicon) or term_graph(text, level, lexicon)
+def to_graph(text: str, level: str, lexicon: Lexicon, longest: int | None = None) -> str:
+    out = structure(text, level, lexicon, longest) or term_graph(text, level, lexicon)
     return out if out and smaller(out, text) else text
 
 
@@ -270,7 +268,7 @@ def reduce_text(text: str, config: ReduceConfig, lexicon: Lexicon = Lexicon()) -
         step = shrink_prose(step) if config.filler else step
         step = lexicon.swap(step, lexicon.synonyms) if config.synonyms else step
         step = lexicon.swap(step, lexicon.gloss) if config.gloss else step
-        step = to_graph(step, level, lexicon)
+        step = to_graph(step, level, lexicon, config.longest_line)
         if step == out:
             break
         out, changed = step, changed + 1

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..sources.logs import session_dirs, session_pieces
 
 
 def sums() -> list[Column]:
@@ -46,3 +47,19 @@ def projects(results: DataFrame) -> DataFrame:
     kept = results.where("msgs > 0").withColumn("dir", cwd)
     grouped = kept.groupBy("dir").agg(F.count("*").alias("sessions"), F.sum("msgs").alias("messages"), F.sum("before").alias("tokens_in"), F.sum("after").alias("tokens_out"))
     return with_saved(grouped).orderBy(F.desc("tokens_saved"), "dir")
+
+
+def project_totals(found: DataFrame) -> DataFrame:
+    """One row of sums over projects; zeros for none."""
+    zero = F.lit(0).cast("bigint")
+    return with_saved(found.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("sessions", "messages", "tokens_in", "tokens_out")]))
+
+
+def discover(lines: DataFrame, price, all_roles: bool = False) -> DataFrame:
+    """Projects of session logs (path, line_no, line): what their open messages cost and would cost.
+
+    ``price`` takes pieces with ``text`` and adds ``before`` and ``after``. Roles are selected before any text is priced.
+    """
+    said = session_pieces(lines).where(fn.role_gate("role", all_roles))
+    results = sessions(price(said), all_roles).join(session_dirs(lines), "path", "left")
+    return projects(results)

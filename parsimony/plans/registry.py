@@ -349,9 +349,9 @@ def paths(spark, sf_dir):
 _HAN = "regexp_replace({0}, '(\\p{{Han}})[\\t\\n\\f\\r ]+(\\p{{Han}})', '\\1\\2', 'g')"
 
 
-@query("han_join", f"SELECT doc_id, {_HAN.format(_HAN.format(text_of('修 碼 於 ') + ' || substr(text, 1, 40) || ' + text_of(' 要 後 x 交  訊 更')))} AS text FROM documents")
+@query("han_join", f"SELECT doc_id, {_HAN.format(_HAN.format(text_of('修 碼 於 ') + ' || text || ' + text_of(' 要 後 x 交  訊 更')))} AS text FROM documents")
 def han_join(spark, sf_dir):
-    t = F.concat(F.lit("修 碼 於 "), F.substring("text", 1, 40), F.lit(" 要 後 x 交  訊 更"))
+    t = F.concat(F.lit("修 碼 於 "), F.col("text"), F.lit(" 要 後 x 交  訊 更"))
     return table(spark, sf_dir, "documents").select("doc_id", fn.join_han(t).alias("text"))
 
 
@@ -405,6 +405,46 @@ def _discover(name: str, all_roles: bool):
 _discover("discover_user_tool", False)
 _discover("discover_all", True)
 
+def session_lines(spark, sf_dir) -> DataFrame:
+    """Conversations as session logs: a file per conversation, a JSON record per turn; some records name the session's folder, some texts are lists of blocks."""
+    said = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    folder = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("/w/p"), (F.col("conv_id") % 5).cast("string"), F.when(F.col("turn") > 1, "/later").otherwise("")))
+    plain = F.to_json(F.struct(F.col("role").alias("type"), folder.alias("cwd"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("tool_use").alias("type"), F.lit("x").alias("text")))
+    listed = F.to_json(F.struct(F.col("role").alias("type"), folder.alias("cwd"), F.struct("role", blocks.alias("content")).alias("message")))
+    path = F.concat(F.lit("logs/project"), (F.col("conv_id") % 7).cast("string"), F.lit("/"), F.col("conv_id").cast("string"))
+    return said.select(path.alias("path"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 2 == 0, plain).otherwise(listed).alias("line"))
+
+
+def _priced(said: DataFrame) -> DataFrame:
+    return said.withColumns({"before": fn.estimate_tokens("text"), "after": fn.estimate_tokens(fn.guarded("text", fn.term_graph("text")))})
+
+
+def _logs_sql(gate: str) -> str:
+    out = f"CASE WHEN terms <> '' AND {sql_smaller('terms', 'text')} THEN terms ELSE text END"
+    return f"""WITH {IRREGULAR}, pieces AS (SELECT conv_id, turn, role, text, conv_id * 100000 + turn AS piece FROM conversations WHERE {gate} AND role IN ('user', 'assistant') AND {sql_trim("text")} <> ''),
+    {sql_terms("full", "pieces", "piece")},
+    s AS (SELECT conv_id, sum({sql_tokens("text")}) AS b, sum({sql_tokens(out)}) AS a, count(*) AS m FROM pieces JOIN terms_full USING (piece) GROUP BY conv_id),
+    first AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '/w/p' || (conv_id % 5) || CASE WHEN min(turn) > 1 THEN '/later' ELSE '' END ELSE 'project' || (conv_id % 7) END AS dir FROM conversations GROUP BY conv_id),
+    projects AS (SELECT dir, count(*)::BIGINT AS sessions, sum(m)::BIGINT AS messages, sum(b)::BIGINT AS tokens_in, sum(a)::BIGINT AS tokens_out FROM s JOIN first USING (conv_id) GROUP BY dir)"""
+
+
+_SAVED = f"(tokens_in - tokens_out)::BIGINT AS tokens_saved, {sql_pct('tokens_in - tokens_out', 'tokens_in')} AS saved_pct"
+
+
+@query("discover_logs", _logs_sql("role = 'user'") + f" SELECT *, {_SAVED} FROM projects")
+def discover_logs(spark, sf_dir):
+    return analytics.discover(session_lines(spark, sf_dir), _priced)
+
+
+@query(
+    "discover_logs_totals",
+    _logs_sql("true") + f" SELECT *, {_SAVED} FROM (SELECT sum(sessions)::BIGINT AS sessions, sum(messages)::BIGINT AS messages, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out FROM projects)",
+)
+def discover_logs_totals(spark, sf_dir):
+    return analytics.project_totals(analytics.discover(session_lines(spark, sf_dir), _priced, all_roles=True))
+
+
 EVENTS = "SELECT event_id, epoch(ts)::BIGINT AS t, event_type AS cmd, (floor(abs(value) * 10) + 1)::BIGINT AS before, floor(abs(value) * 4)::BIGINT AS after, CASE WHEN user_id % 11 = 0 THEN '' ELSE '/home/u/p' || (user_id % 40) END AS dir FROM events WHERE value IS NOT NULL"
 
 

@@ -10,27 +10,32 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 
-#: Longest line of each kind of log, in bytes.
-SESSION_LINE, GAIN_LINE = 32 << 20, 1 << 20
-
-
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file as one document."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
-def log_lines(spark: SparkSession, path: str, longest: int) -> DataFrame:
-    """(path, line_no, line) of every ``*.jsonl`` under a folder, blank and overlong lines left out; the order of lines is kept."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreMissingFiles", "true").text(path, wholetext=True)
-    split = files.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    lines = split.withColumn("line", fn.trim("line")).where(F.col("line") != "")
-    return lines.where(F.octet_length("line") <= longest)
+def numbered(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, line_no, line) of text files, read line by line and split by split.
+
+    ``line_no`` orders the lines of a file: where the line's split begins and the line's place in it.
+    """
+    files = spark.read.options(lineSep="\n", **options).text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return files.select(F.col("_metadata.file_path").alias("path"), place.alias("line_no"), F.col("value").alias("line"))
+
+
+def log_lines(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """(path, line_no, line) of every ``*.jsonl`` under a folder, blank lines left out, and lines of more than ``longest`` bytes if that is given."""
+    lines = numbered(spark, path, recursiveFileLookup="true", pathGlobFilter="*.jsonl", ignoreMissingFiles="true")
+    lines = lines.withColumn("line", fn.trim("line")).where(F.col("line") != "")
+    return lines if longest is None else lines.where(F.octet_length("line") <= longest)
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """(word, wordtype, definition, line) of a headerless dictionary: plain commas, of which a row has two at least."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return parse_dictionary(rows)
+    """(word, wordtype, definition, line) of a headerless dictionary: plain commas, of which a row has two at least; ``line`` orders the rows."""
+    rows = numbered(spark, path)
+    return parse_dictionary(rows.select(F.col("line_no").alias("line"), F.regexp_replace("line", "\r$", "").alias("value")))
 
 
 def parse_dictionary(rows: DataFrame) -> DataFrame:
@@ -74,15 +79,14 @@ def session_pieces(lines: DataFrame) -> DataFrame:
     said = typed.where(F.col("type").isin("user", "assistant")).withColumn("role", F.when(F.col("given") == "", F.col("type")).otherwise(F.col("given")))
     plain = said.where(F.schema_of_variant("content") == "STRING").select("path", "line_no", F.lit(-1).alias("i"), F.lit(-1).alias("j"), "role", F.col("content").cast("string").alias("text"))
     listed = said.where(F.schema_of_variant("content").startswith("ARRAY"))
-    listed.createOrReplaceTempView("parsimony_listed")
-    spark = lines.sparkSession
-    blocks = spark.sql("SELECT path, line_no, role, b.pos AS i, b.value AS block FROM parsimony_listed, LATERAL variant_explode(content) AS b")
+    exploded = lines.sparkSession.tvf.variant_explode(F.col("content").outer())
+    blocks = listed.lateralJoin(exploded).select("path", "line_no", "role", F.col("pos").alias("i"), F.col("value").alias("block"))
     kind = F.try_variant_get("block", "$.type", "string")
     texts = blocks.where(kind == "text").select("path", "line_no", "i", F.lit(-1).alias("j"), "role", F.try_variant_get("block", "$.text", "string").alias("text"))
     results = blocks.where(kind == "tool_result").select("path", "line_no", "i", F.try_variant_get("block", "$.content", "variant").alias("content"))
     short = results.where(F.schema_of_variant("content") == "STRING").select("path", "line_no", "i", F.lit(-1).alias("j"), F.lit("tool").alias("role"), F.col("content").cast("string").alias("text"))
-    results.where(F.schema_of_variant("content").startswith("ARRAY")).createOrReplaceTempView("parsimony_results")
-    nested = spark.sql("SELECT path, line_no, i, b.pos AS j, b.value AS block FROM parsimony_results, LATERAL variant_explode(content) AS b")
+    deep = results.where(F.schema_of_variant("content").startswith("ARRAY"))
+    nested = deep.lateralJoin(exploded).select("path", "line_no", "i", F.col("pos").alias("j"), F.col("value").alias("block"))
     inner = nested.where(kind == "text").select("path", "line_no", "i", "j", F.lit("tool").alias("role"), F.try_variant_get("block", "$.text", "string").alias("text"))
     return plain.union(texts).union(short).union(inner).where(fn.trim("text") != "")
 

@@ -61,15 +61,15 @@ def _rewriter(config: ReduceConfig, shipped):
     return run
 
 
-def rewritten(body: str, config: ReduceConfig, shipped=None) -> Column:
+def rewritten(body, config: ReduceConfig, shipped=None) -> Column:
     """struct<body, before, after>."""
-    return _rewriter(config, shipped)(F.col(body))
+    return _rewriter(config, shipped)(F.col(body) if isinstance(body, str) else body)
 
 
 def rewrite(requests: DataFrame, config: ReduceConfig, shipped=None) -> DataFrame:
     """(path, body, before, after) of a batch or a stream of requests; only chat paths are rewritten."""
     chat = fn.is_chat_path("path")
-    done = requests.withColumn("r", rewritten("body", config, shipped))
+    done = requests.withColumn("r", rewritten(F.when(chat, F.col("body")), config, shipped))  # other bodies do not leave the JVM
     pick = lambda c, other: F.when(chat, F.col(f"r.{c}")).otherwise(other).alias(c)
     return done.select("path", pick("body", F.col("body")), pick("before", F.lit(0)), pick("after", F.lit(0)))
 

@@ -9,7 +9,7 @@ from parsimony.functions import scalars as fn
 from parsimony.functions.registration import register
 from parsimony.operators import lexbuild
 from parsimony.plans import analytics, registry, reports
-from parsimony.sources import logs
+from parsimony.sources import logs, sinks
 from parsimony.streaming import rewrite
 
 
@@ -36,6 +36,54 @@ def test_reports(events):
     assert reports.gain_text(events.where("false"), ["seq"]) == "no reductions recorded yet"
 
 
+def test_reports_leave_nothing_out(spark, events):
+    many = spark.createDataFrame([(i, i, "reduce", 100 + i, 50, f"/d{i}" if i else "") for i in range(30)], events.schema)
+    text = reports.gain_text(many, ["seq"], with_history=True)
+    assert all(f"/d{i} " in text for i in range(1, 30)) and "(unknown)" in text and "... 10 older" in text
+    out = json.loads(reports.gain_json(many, order=["seq"]))
+    assert len(out["by_folder"]) == 30 and [r["t"] for r in out["history"]] == list(range(29, -1, -1)) and "dir" not in out["history"][-1]
+
+
+def test_discover(spark):
+    lines = spark.createDataFrame(registry.SESSIONS, "path string, line_no int, line string")
+    found = analytics.discover(lines, registry._priced)
+    assert [(r.dir, r.sessions, r.messages) for r in found.orderBy("dir").collect()] == [("/w/a", 1, 3), ("b", 1, 1)]
+    out = json.loads(reports.discover_json(found))
+    assert (out["sessions"], out["messages"], out["roles"], len(out["by_project"])) == (2, 4, "user + tool roles", 2) and out["would_save"] == out["tokens_in"] - out["would_be_out"]
+    text = reports.discover_text(analytics.discover(lines, registry._priced, all_roles=True), all_roles=True)
+    assert text.startswith("2 sessions\n  messages       5 reducible (all roles)") and "by project:" in text
+    assert reports.discover_text(found.where("false")) == "no reducible text found"
+
+
+def test_doctor(spark, events):
+    problems, text = reports.doctor(ReduceConfig(), events=events)
+    assert problems == 0 and "22 -> 8 tokens (63% smaller)" in text and "3 events" in text
+    assert reports.doctor(ReduceConfig(filler=False, synonyms=False, gloss=False, arrows=False, passes=1))[0] in (0, 1)
+
+
+def test_sinks(spark, tmp_path):
+    sinks.write_texts(spark.createDataFrame([("a\nb",)], "text string"), "text", str(tmp_path / "t"))
+    assert [p.read_text() for p in (tmp_path / "t").glob("part*") if p.stat().st_size] == ["a\nb\0"]
+    table = spark.createDataFrame([(f"w{i * 7 % 50:02}", "x") for i in range(50)], "word string, gloss string").repartition(5)
+    sinks.write_table(table, str(tmp_path / "l"))
+    words = [r.word for p in sorted((tmp_path / "l").glob("*.parquet")) for r in spark.read.parquet(str(p)).collect()]
+    assert words == sorted(words) and len(words) == 50
+
+
+def test_line_order_over_splits(spark, tmp_path):
+    """The first folder of a session is found however its file is split."""
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps({"type": "user", "cwd": f"/w/{i}" if i else "", "message": {"content": "x" * 50}}) + "\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = logs.log_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 3 and lines.count() == 3000
+        assert logs.session_dirs(lines).first().cwd == "/w/1"
+        assert [json.loads(r.line)["cwd"][3:] for r in lines.orderBy("line_no").collect()] == ["", *map(str, range(1, 3000))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_projects(spark):
     rows = [(100, 50, 2, "/a", "l/x/1"), (500, 100, 1, "/b", "l/x/2"), (10, 5, 1, "", "l/proj/3"), (0, 0, 0, "/c", "l/x/4")]
     out = analytics.projects(spark.createDataFrame(rows, "before long, after long, msgs long, cwd string, path string")).collect()
@@ -46,7 +94,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "s.jsonl").write_text("\n".join(x[2] for x in registry.SESSIONS[:4]) + "\nnot json\n\n")
     (tmp_path / "a" / "skip.txt").write_text("{}")
-    lines = logs.log_lines(spark, str(tmp_path), logs.SESSION_LINE)
+    lines = logs.log_lines(spark, str(tmp_path))
     assert lines.count() == 5
     pieces = logs.session_pieces(lines)
     assert sorted(r.role for r in pieces.collect()) == ["assistant", "tool", "tool", "user"]

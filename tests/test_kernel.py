@@ -88,7 +88,9 @@ def test_structure():
     text = "lost before\n# One\nsee `src/a.go` here\nThe big server runs\n```\nin fence\n```\n##### five\n## Two\n|---|---|\nhttps://x.org is **bold** text"
     assert kernel.structure(text, "full", kernel.Lexicon()) == "One\n  src/a.go\n  big server runs\n  Two\n    https //x org bold text\n"
     assert kernel.structure("no heading", "full", kernel.Lexicon()) == ""
-    assert kernel.structure("# H\n" + "x" * 70_000 + "\n# Later", "full", kernel.Lexicon()) == "H\n"
+    long = "# H\n" + "x" * 70_000 + "\n# Later"
+    assert kernel.structure(long, "full", kernel.Lexicon(), 65_536) == "H\n"
+    assert kernel.structure(long, "full", kernel.Lexicon()) == "H\n  " + "x" * 70_000 + "\nLater\n"
 
 
 def test_config():
