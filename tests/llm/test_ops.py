@@ -554,11 +554,34 @@ def test_decontaminate(spark):
     items = spark.createDataFrame([(1, " ".join(item)), (2, "Tiny item"), (3, None), (4, ""), (1, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained(df, items, "doc_id", "text", "item_id", "text").collect()}
     assert got == {(0, 1), (1, 1), (5, 2)}
+    clash = df.withColumns({n: F.lit("clash") for n in ("row", "own", "doc", "items", "item", "h", "need")})
+    assert {(r.doc_id, r.row, r.own) for r in decontaminate.remove(clash.union(clash), items, "doc_id", "text", "item_id", "text").collect()} == {(i, "clash", "clash") for i in (2, 3, 4, 6, None)}
+    assert decontaminate.contained(clash.union(clash), items.where("item_id = 2"), "doc_id", "text", "item_id", "text").count() == 2
     assert {r.doc_id for r in decontaminate.remove(df, items, "doc_id", "text", "item_id", "text").collect()} == {2, 3, 4, 6, None}
     assert decontaminate.contained(df, items.where("false"), "doc_id", "text", "item_id", "text").count() == 0
     assert decontaminate.contained(empty(spark), items, "doc_id", "text", "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_containment_of_every_size(spark, rows, monkeypatch):
+    """Items of 1 to 200 words with words left out: whole or near, against brute force, broadcast and shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", rows)
+    rng = random.Random(5)
+    items, texts = [], []
+    for k in range(40):
+        w = [f"w{rng.randrange(50 if k % 4 == 0 else 10**6)}" for _ in range(rng.choice([1, 3, 5, 6, 9, 15, 40, 200]))]
+        items.append((k, " ".join(w)))
+        v = w.copy()
+        for _ in range(rng.choice([0, 1, 1, len(w) // 20, len(w) // 8])):
+            v[rng.randrange(len(v))] = "changed"
+        texts.append(" ".join(v) if k % 5 == 0 else " ".join([f"n{rng.randrange(10**6)}" for _ in range(rng.randrange(300))] + v + ["end"]))
+    sets, wanted = [shingle_set(t) for t in texts], [shingle_set(t) for _, t in items]
+    want = {(i, k) for i, s in enumerate(sets) for k, w in enumerate(wanted) if len(s & w) * 100 >= len(w) * 80}
+    got = decontaminate.contained(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), "doc_id", "text", "item_id", "text")
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 15
+
+
 # ---- 7 --------------------------------------------------------------------------------------
 
 
