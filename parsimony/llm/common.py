@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``edges`` has two comparable columns; the result has ``node`` and ``label``, the smallest
     node that can be reached. Each round only groups by node with map-side minima and joins
-    back, so a node with very many links never meets in one task; lineage is cut by a
+    back, nodes with very many links by broadcast, so that none meets in one task; lineage is cut by a
     checkpoint each round. The number of rounds grows with the logarithm of the diameter.
     Nodes without links do not appear.
     """
@@ -81,8 +81,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         # not a union: Spark fails on unions of checkpoints whose plan had an empty side
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = join_spread(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

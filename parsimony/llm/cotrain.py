@@ -227,8 +227,20 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return np.where(counts[0, :-1] >= LEAST_DOCS, out, 0.0).astype(np.float32)
 
 
+def packed(words: np.ndarray) -> bytes:
+    """Sorted buckets by their differences, byte plane by byte plane, compressed."""
+    planes = np.diff(words, prepend=np.int32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(words).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], decompressed_size=n * 4, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n), dtype=np.int64).astype(np.int32)
+
+
 def features(docs: DataFrame, doc_id: str, text: str, meta: list[str]) -> DataFrame:
-    """(id, h, words, meta, style) of every document, its whole text; h is a hash of the text."""
+    """(id, h, words, meta, style) of every document, its whole text; h is a hash of the text, words are packed."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"), *[F.col(m).alias(f"m{i}") for i, m in enumerate(meta)])
 
@@ -239,10 +251,10 @@ def features(docs: DataFrame, doc_id: str, text: str, meta: list[str]) -> DataFr
             values = [meta_features(tuple(f[i] for f in fields), style) for i, (_, style) in enumerate(made)]
             ints = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([w for w, _ in made], ints), pa.array(values, ints), pa.array([s for _, s in made], pa.list_(pa.float64()))], names=["id", "h", "words", "meta", "style"]
+                [batch.column(0), batch.column(1), pa.array([packed(w) for w, _ in made], pa.binary()), pa.array(values, ints), pa.array([s for _, s in made], pa.list_(pa.float64()))], names=["id", "h", "words", "meta", "style"]
             )
 
-    return rows.mapInArrow(run, f"id {kind}, h long, words array<int>, meta array<int>, style array<double>")
+    return rows.mapInArrow(run, f"id {kind}, h long, words binary, meta array<int>, style array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, meta: list[str], labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
@@ -284,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, meta: list
             model = pickle.loads(sent.value)
             counts = [np.zeros((3, len(v.base.words) + 1), np.int64) for v in model.views]
             for batch in batches:
-                sure_counts(model, _lists(batch.column(0)), _lists(batch.column(1)), batch.column(2).flatten().to_numpy(), counts)
+                sure_counts(model, [unpacked(x.as_py()) for x in batch.column(0)], _lists(batch.column(1)), batch.column(2).flatten().to_numpy(), counts)
             for v, c in enumerate(counts):
                 b = np.flatnonzero(c[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), v, np.int32)), pa.array(b.astype(np.int32)), *[pa.array(x[b]) for x in c]], names=["view", "b", "every", "clean", "bad"])
@@ -308,7 +320,7 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     words, meta, style, y, o, name, h = batch.columns
-    for w, m, s, label, *key in zip(_lists(words), _lists(meta), _lists(style), y.to_pylist(), o.to_pylist(), name.to_pylist(), h.to_pylist(), strict=True):
+    for w, m, s, label, *key in zip([unpacked(x.as_py()) for x in words], _lists(meta), _lists(style), y.to_pylist(), o.to_pylist(), name.to_pylist(), h.to_pylist(), strict=True):
         yield (*[tuple(key)], w, m, s, label)
 
 

@@ -392,6 +392,11 @@ def test_cotrain(spark):
     assert cotrain.score(long, "text", ["lang", "source", "n_chars"], model).count() == 4
 
 
+def test_packed():
+    for w in ([], [0], [cotrain.BUCKETS - 1], sorted(random.Random(1).sample(range(cotrain.BUCKETS), 700))):
+        assert cotrain.unpacked(cotrain.packed(np.array(w, np.int32))).tolist() == w
+
+
 def test_sure_documents_teach():
     """Every unlabelled document counts: what one view is sure of gives the other view's features their log-odds."""
     rng = np.random.default_rng(4)
