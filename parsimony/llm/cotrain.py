@@ -33,8 +33,8 @@ LABELLED = 8_000
 BUCKETS, META_BUCKETS, ROUNDS, SURE = 1 << 19, 1 << 12, 2, 0.97
 #: Sample documents that a feature must stand in to get a weight, and lengths of the word beginnings that are features.
 LEAST_DOCS, STEMS = 3, (4, 5)
-#: Of twenty labelled documents, those that calibrate the views and those that mix them; the others fit.
-CALIBRATE, MIX = (0, 1), (2,)
+#: Of twenty labelled documents, those that calibrate the views and those that mix them; the others fit. Of fewer than ``SMALL`` a quarter does both.
+CALIBRATE, MIX, SMALL, QUARTER = (0, 1), (2,), 400, (3, 7, 11, 15, 19)
 #: What a document needs to be kept, as a calibrated probability of being clean.
 KEEP = 0.5
 STYLE = 10
@@ -194,7 +194,8 @@ def fit_views(labelled: list[tuple], taught: list[np.ndarray], before: Model | N
     if not labelled:
         return model
     part = lambda kinds: [r for i, r in enumerate(labelled) if i % 20 in kinds] or labelled
-    base, held, mixed = part([k for k in range(20) if k not in CALIBRATE + MIX]), part(CALIBRATE), part(MIX)
+    calibrating, mixing = (QUARTER, QUARTER) if len(labelled) < SMALL else (CALIBRATE, MIX)
+    base, held, mixed = part([k for k in range(20) if k not in calibrating + mixing]), part(calibrating), part(mixing)
     y = lambda rows: np.array([r[3] for r in rows], float)
     style = lambda rows: np.array([r[2] for r in rows])
     model.centre, model.spread, model.fitted = style(base).mean(axis=0), style(base).std(axis=0) + 1e-3, True
@@ -202,7 +203,7 @@ def fit_views(labelled: list[tuple], taught: list[np.ndarray], before: Model | N
     for v in (0, 1):
         made = before.views[v].base if before else fit([r[v] for r in base], dense, y(base), len(model.views[v].base.words))
         model.views[v] = View(made, taught[v], np.zeros(4))
-        model.views[v].scale = newton(model.views[v].parts([r[v] for r in held], of_held), y(held), np.array([0.5, 0.0, 0.0, 0.0]), 1e-3 * len(held))
+        model.views[v].scale = newton(model.views[v].parts([r[v] for r in held], of_held), y(held), np.array([0.5, 0.0, 0.0, 0.0]), 2.0)
     x = sides(*model.logits([r[0] for r in mixed], [r[1] for r in mixed], style(mixed)))
     model.mix = tuple(newton(x, y(mixed), np.array([0.0, 0.0, 1.0, 0.0]), 5.0).tolist())
     return model
