@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from . import bpe, cotrain, ctw, decontaminate, linededup, pii, sharding, simhas
 from .common import table
 
 #: Where the public vocabulary files lie.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
